@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terroir.llm import quantiles, survivors, tokenizer
+from terroir.llm import addresses, entities, quantiles, survivors, tokenizer
 from terroir.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,12 +31,25 @@ def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.cell_percentiles(table(spark, sf_dir, "points_marche"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.found(table(spark, sf_dir, "dvf_dpe_matched"), table(spark, sf_dir, "dpe_clean"))
+
+
+def p3_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs with the rule that made them and its confidence."""
+    return entities.cascade(table(spark, sf_dir, "dvf_dpe_matched"), table(spark, sf_dir, "dpe_clean"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return addresses.found(table(spark, sf_dir, "dvf_clean"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_percentiles, p7_ids)}
+    return {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_percentiles, p3_found, p3_cascade, p5_found, p7_ids)}
 
 
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
