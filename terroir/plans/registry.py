@@ -2,9 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from terroir.operators import drift, spatial
+from terroir.session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.changes(table(spark, sf_dir, "dvf_brut"), table(spark, sf_dir, "dvf_fichiers"))
+
+
+def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of all files as one table."""
+    return drift.unified(table(spark, sf_dir, "dvf_brut"), table(spark, sf_dir, "dvf_fichiers"))
+
+
+def p4_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every alternative type of every path of a flux and the file that brought it."""
+    return drift.fused_types(table(spark, sf_dir, "dvf_brut"), table(spark, sf_dir, "dvf_fichiers"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.found(*(table(spark, sf_dir, t) for t in ("dvf_geocoded", "dvf_iris", "iris_polygones")))
+
+
+def queries() -> dict[str, Query]:
+    return {f.__name__: f for f in (p4_found, p4_table, p4_types, p6_found)}
 
 
 def oracle_sql() -> dict[str, str]:
