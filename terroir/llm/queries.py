@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from terroir.llm import addresses, entities, quantiles, survivors, tokenizer
+from terroir.llm import addresses, entities, leakage, mojibake, quantiles, survivors, tokenizer
 from terroir.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,8 +47,21 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.found(table(spark, sf_dir, "documents"))
+
+
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The affected documents with the chain each went through and the restored text."""
+    return mojibake.detect(table(spark, sf_dir, "documents")).select("doc_id", "chain", "restored")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_percentiles, p3_found, p3_cascade, p5_found, p7_ids)}
+    return {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_percentiles, p3_found, p3_cascade, p5_found, p7_ids, p8_found, p9_found, p9_restored)}
 
 
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
