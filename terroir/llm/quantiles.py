@@ -88,9 +88,12 @@ class Sketching:
 
     def add(self, counters: np.ndarray, codes: np.ndarray, weights: np.ndarray) -> None:
         """Adds weighted codes to a sketch."""
+        at, signed = [], []
         for level in range(self.bits + 1):
-            for at, sign in self.slots(codes >> (self.bits - level), level):
-                counters += np.bincount(at, weights=weights * sign, minlength=len(counters)).astype(np.int64)
+            for a, sign in self.slots(codes >> (self.bits - level), level):
+                at.append(a)
+                signed.append(weights * sign)
+        counters += np.bincount(np.concatenate(at), weights=np.concatenate(signed), minlength=len(counters)).astype(np.int64)
 
     def build(self, codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
         codes, back = np.unique(codes, return_inverse=True)
@@ -113,11 +116,14 @@ class Sketching:
         return math.sqrt(variance)
 
     def code_at(self, counters: np.ndarray, rank: float) -> int:
-        """The code that holds the value of a rank (from 0)."""
-        node, left_of = 0, 0.0
-        for level in range(1, self.bits + 1):
-            left = self.count(counters, 2 * node, level)
+        """The code that holds the value of a rank (from 0). On exact levels a rank beyond the ends is that of the end;
+        below them it keeps to its side, since counts are uncertain there."""
+        upto = np.cumsum(counters[1 << self.exact_levels : 2 << self.exact_levels])
+        node = int(np.searchsorted(upto, min(max(rank, 0.0), float(counters[1]) - 1), side="right"))
+        left_of = float(upto[node - 1]) if node else 0.0
+        for level in range(self.exact_levels + 1, self.bits + 1):
             node *= 2
+            left = self.count(counters, node, level)
             if rank >= left_of + left:
                 left_of += left
                 node += 1
@@ -129,7 +135,7 @@ class Sketching:
         if n <= 0:
             return math.nan, math.nan, math.nan
         at, spread = q * (n - 1), SIGMAS * self.noise(counters)
-        low, high = (self.code_at(counters, min(max(r, 0.0), n - 1)) for r in (math.floor(at) - spread, math.ceil(at) + spread))
+        low, high = (self.code_at(counters, r) for r in (math.floor(at) - spread, math.ceil(at) + spread))
         a, b = self.edges(np.array([low, high]))
         mid_lo, mid_hi = self.edges(np.array([self.code_at(counters, at)]))
         mid = float(np.clip(math.sqrt(max(mid_lo[0], self.low) * min(mid_hi[0], self.high)), self.low, self.high))
