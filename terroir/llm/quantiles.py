@@ -26,6 +26,7 @@ import math
 import struct
 import zlib
 from dataclasses import dataclass
+from statistics import median
 
 import numpy as np
 import pandas as pd
@@ -102,9 +103,15 @@ class Sketching:
         return out
 
     def count(self, counters: np.ndarray, node: int, level: int) -> float:
-        if not 0 <= node < 1 << level:
-            return 0.0
-        return float(np.median([counters[at[0]] * sign[0] for at, sign in self.slots(np.array([node]), level)]))
+        if level <= self.exact_levels:
+            return float(counters[(1 << level) + node])
+        base = (1 << (self.exact_levels + 1)) + (level - self.exact_levels - 1) * self.depth * self.width
+        seen = []
+        for row in range(self.depth):
+            h = _mix_one(node, self.seed * 1_000_003 + level * 101 + row)
+            c = int(counters[base + row * self.width + h % self.width])
+            seen.append(-c if h >> 63 else c)
+        return float(median(seen))
 
     def noise(self, counters: np.ndarray) -> float:
         """Standard deviation of a rank: the noise of one count per sketched level, added as variances."""
@@ -166,6 +173,15 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def _mix_one(x: int, seed: int) -> int:
+    """The same of one number."""
+    whole = (1 << 64) - 1
+    x = (x + seed * 0x9E3779B97F4A7C15) & whole
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = ((x ^ (x >> shift)) * by) & whole
+    return x ^ (x >> 31)
+
+
 def build_sketches(rows: DataFrame, group: list[str], value: str, shape: Sketching = Sketching(), weight: str | None = None, distinct_on: str | None = None, salts: int = 4) -> DataFrame:
     """One row per group and salt: the group's columns and ``sketch`` (binary), to be merged.
 

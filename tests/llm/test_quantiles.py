@@ -82,3 +82,8 @@ def test_found_at_the_tolerance(spark, off):
 def test_found_on_empty(spark):
     e = lambda s: spark.createDataFrame([], s)
     assert quantiles.found(e(POINTS), e(MARCHE), e(IRIS)).count() == 0
+
+
+def test_one_hash_for_one_and_many():
+    x = np.array([0, 1, 77, 2**40], dtype=np.uint64)
+    assert [int(v) for v in quantiles._mix(x, 12345)] == [quantiles._mix_one(int(v), 12345) for v in x]
