@@ -7,8 +7,11 @@ distance tests. Candidates are then judged by windows over the profile and reduc
 
 The box of the distance pass is part of the meaning: at 111 320 m a degree it is a hair tighter than the circle.
 
-Scale: no pair is made that shares neither an address nor a neighbouring cell; duplicates of certificates go first. A cell or an
-address that holds a third of all certificates makes large pools, which are split by profile; AQE splits the join.
+Scale: no pair is made that shares neither an address nor a neighbouring cell, and both sides are reduced to what the outcome
+depends on. At one address, certificates without duplicates and profiles are as many as there are different values, however many
+rows lie there. The distance pass does not depend on the lot's address at all, nor on which of several like certificates it meets, so it joins distinct
+(town, place, area, kind) with counted classes of certificates: a fallback point with a third of all lots and certificates is a
+bounded number of pairs. Only pools that are themselves the result (``undecided_pools``, ``masked_pools``) list certificates one by one.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from terroir.constants import CERTAIN, REFORM, STATUSES, SURFACE_TOLERANCE
 from terroir.functions.geo import DISTANCE_THRESHOLD_M, METRES_PER_DEGREE, box_half_widths, cell, haversine_m
 
 PROFILE = ("code", "adresse", "lat", "lon", "surface", "kind")
+#: What the distance pass depends on.
+PLACE = ("code", "lat", "lon", "surface", "kind")
 CARRIED = ("etiquette_dpe", "etiquette_ges", "type_batiment", "periode_construction")
 
 
@@ -45,52 +50,65 @@ def _certificates(certs: DataFrame) -> DataFrame:
 
 
 def exact_candidates(prof: DataFrame, certs: DataFrame) -> DataFrame:
-    """Profiles with the certificates of their town at the same, non-empty address."""
-    return prof.where(F.col("adresse") != "").join(certs.withColumnRenamed("adresse_c", "adresse"), ["code", "adresse"]).withColumn("passe", F.lit("texte_exact")).select(*PROFILE, "numero_dpe", "surface_c", *CARRIED, "passe")
+    """Profiles with the certificates of their town at the same, non-empty address; ``poids`` is 1."""
+    met = prof.where(F.col("adresse") != "").join(certs.withColumnRenamed("adresse_c", "adresse"), ["code", "adresse"])
+    return met.select(*PROFILE, "numero_dpe", "surface_c", *CARRIED, F.lit("texte_exact").alias("passe"), F.lit(1).cast("long").alias("poids"))
 
 
-def near_candidates(prof: DataFrame, certs: DataFrame, metres: float = DISTANCE_THRESHOLD_M) -> DataFrame:
-    """Profiles with the certificates of their town inside the box and within the distance."""
+def classes(certs: DataFrame) -> DataFrame:
+    """Certificates that no outcome tells apart, as one row with their number and the least id."""
+    same = ["code", "lat_c", "lon_c", "surface_c", *CARRIED]
+    return certs.groupBy(*same).agg(F.min("numero_dpe").alias("numero_dpe"), F.count(F.lit(1)).alias("poids"))
+
+
+def near_candidates(prof: DataFrame, certs: DataFrame, metres: float = DISTANCE_THRESHOLD_M, keys: tuple[str, ...] = PROFILE) -> DataFrame:
+    """Profiles (or their distinct ``keys``) with the certificates, or classes of them, of their town inside the box and within the distance."""
     h_lat, h_lon = box_half_widths(F.col("lat"), metres)
     across = lambda c, h: F.sequence(cell(c - h, metres), cell(c + h, metres))
     placed = prof.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
     probe = placed.withColumn("ci", F.explode(across(F.col("lat"), h_lat))).withColumn("cj", F.explode(across(F.col("lon"), h_lon)))
     held = certs.where(F.col("lat_c").isNotNull() & F.col("lon_c").isNotNull()).withColumns({"ci": cell(F.col("lat_c"), metres), "cj": cell(F.col("lon_c"), metres)})
     inside = (F.abs(F.col("lat_c") - F.col("lat")) <= h_lat) & (F.abs(F.col("lon_c") - F.col("lon")) <= h_lon) & (haversine_m(F.col("lat"), F.col("lon"), F.col("lat_c"), F.col("lon_c")) <= metres)
-    return probe.join(held, ["code", "ci", "cj"]).where(inside).withColumn("passe", F.lit("distance")).select(*PROFILE, "numero_dpe", "surface_c", *CARRIED, "passe")
+    weight = F.col("poids") if "poids" in certs.columns else F.lit(1).cast("long").alias("poids")
+    return probe.join(held, ["code", "ci", "cj"]).where(inside).select(*keys, "numero_dpe", "surface_c", *CARRIED, F.lit("distance").alias("passe"), weight)
+
+
+def without_exact(prof: DataFrame, certs: DataFrame) -> DataFrame:
+    """Profiles that no certificate shares an address with."""
+    met = certs.where(F.col("adresse_c") != "").select("code", F.col("adresse_c").alias("adresse")).distinct()
+    return prof.join(met, ["code", "adresse"], "left_anti")
 
 
 def candidates(lots: DataFrame, certs: DataFrame, metres: float = DISTANCE_THRESHOLD_M) -> DataFrame:
-    """All candidates of all profiles, of the first pass that has any."""
+    """All candidates of all profiles one by one, of the first pass that has any."""
     prof = profiles(lots).select(*PROFILE).distinct()
     cert = _certificates(certs)
-    exact = exact_candidates(prof, cert)
-    met = cert.where(F.col("adresse_c") != "").select("code", F.col("adresse_c").alias("adresse")).distinct()
-    return exact.unionByName(near_candidates(prof.join(met, ["code", "adresse"], "left_anti"), cert, metres))
+    return exact_candidates(prof, cert).unionByName(near_candidates(without_exact(prof, cert), cert, metres))
 
 
-def judged(pool: DataFrame, tolerance: float = SURFACE_TOLERANCE) -> DataFrame:
+def judged(pool: DataFrame, tolerance: float = SURFACE_TOLERANCE, keys: tuple[str, ...] = PROFILE) -> DataFrame:
     """Candidates with: n (pool), filtre (the kind of building narrowed it), garde (kept by that), m (kept), dans (area within tolerance),
     retenu (in the subset to be judged)."""
-    w = Window.partitionBy(*PROFILE)
+    w = Window.partitionBy(*keys)
+    number = lambda c: F.coalesce(F.sum(F.when(c, F.col("poids"))).over(w), F.lit(0))
     clash = ((F.col("kind") == "Appartement") & (F.col("type_batiment") == "maison")) | ((F.col("kind") == "Maison") & (F.col("type_batiment") == "appartement"))
     ok = ~F.coalesce(clash, F.lit(False))
     near = F.coalesce(F.abs(F.col("surface") - F.col("surface_c")) <= tolerance, F.lit(False))
-    a = pool.withColumns({"n": F.count(F.lit(1)).over(w), "_ok": ok, "_n_ok": F.count_if(ok).over(w)})
+    a = pool.withColumns({"n": F.sum("poids").over(w), "_ok": ok, "_n_ok": number(ok)})
     a = a.withColumn("filtre", (F.col("n") > 1) & (F.col("_n_ok") > 0) & (F.col("_n_ok") < F.col("n")))
     # a single exact or near candidate is taken as it is; the filter only narrows pools
     a = a.withColumn("garde", ~F.col("filtre") | F.col("_ok")).withColumn("dans", near & F.col("garde"))
-    a = a.withColumns({"m": F.count_if(F.col("garde")).over(w), "_d": F.count_if(F.col("dans")).over(w)})
+    a = a.withColumns({"m": number(F.col("garde")), "_d": number(F.col("dans"))})
     return a.withColumn("retenu", F.col("garde") & (F.col("dans") | (F.col("_d") == 0))).drop("_ok", "_n_ok")
 
 
-def resolve(pool: DataFrame, tolerance: float = SURFACE_TOLERANCE) -> DataFrame:
+def resolve(pool: DataFrame, tolerance: float = SURFACE_TOLERANCE, keys: tuple[str, ...] = PROFILE) -> DataFrame:
     """One row per profile with candidates: match_status, match_methode, filtre_type_applique, numero_dpe and the carried columns."""
-    j = judged(pool, tolerance)
+    j = judged(pool, tolerance, keys)
     kept = F.col("retenu")
     same = lambda c: (F.count_if(kept & F.col(c).isNotNull()) == F.count_if(kept)) & (F.min(F.when(kept, F.col(c))) == F.max(F.when(kept, F.col(c))))
-    one = j.groupBy(*PROFILE).agg(
-        F.first("n").alias("n"), F.first("m").alias("m"), F.first("filtre").alias("filtre"), F.min("passe").alias("passe"), F.count_if(kept).alias("k"),
+    one = j.groupBy(*keys).agg(
+        F.first("n").alias("n"), F.first("m").alias("m"), F.first("filtre").alias("filtre"), F.min("passe").alias("passe"), F.sum(F.when(kept, F.col("poids"))).alias("k"),
         F.min(F.when(kept, F.struct("numero_dpe", *CARRIED))).alias("row"), *[F.min(F.when(kept, F.col(c))).alias(f"v_{c}") for c in CARRIED], *[same(c).alias(f"u_{c}") for c in CARRIED],
     )
     single = (F.col("m") == 1) | (F.col("k") == 1)
@@ -98,15 +116,15 @@ def resolve(pool: DataFrame, tolerance: float = SURFACE_TOLERANCE) -> DataFrame:
     status = F.when(single, "trouve").when(agreed, "resolu_consensus").otherwise("ambigu")
     method = F.when(F.col("m") == 1, F.col("passe")).when(F.col("k") == 1, F.concat("passe", F.lit("_surface"))).when(agreed, "consensus_etiquette")
     carried = [F.when(single, F.col("row")[c]).when(agreed & F.col(f"u_{c}"), F.col(f"v_{c}")).alias(c) for c in CARRIED]
-    return one.select(*PROFILE, status.alias("match_status"), method.alias("match_methode"), F.col("filtre").alias("filtre_type_applique"), F.when(single, F.col("row.numero_dpe")).alias("numero_dpe"), *carried)
+    return one.select(*keys, status.alias("match_status"), method.alias("match_methode"), F.col("filtre").alias("filtre_type_applique"), F.when(single, F.col("row.numero_dpe")).alias("numero_dpe"), *carried)
 
 
 RESULT = ("match_status", "match_methode", "filtre_type_applique", "numero_dpe", *CARRIED)
 
 
-def _rejoin(lots: DataFrame, by_profile: DataFrame, how: str = "left") -> DataFrame:
+def _rejoin(lots: DataFrame, by_profile: DataFrame, how: str = "left", keys: tuple[str, ...] = PROFILE) -> DataFrame:
     on = None
-    for c in PROFILE:
+    for c in keys:
         test = F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
         on = test if on is None else on & test
     return lots.alias("l").join(by_profile.alias("r"), on, how)
@@ -114,7 +132,11 @@ def _rejoin(lots: DataFrame, by_profile: DataFrame, how: str = "left") -> DataFr
 
 def link(lots: DataFrame, certs: DataFrame, metres: float = DISTANCE_THRESHOLD_M, tolerance: float = SURFACE_TOLERANCE) -> DataFrame:
     """Every lot with its outcome; lots keep their own columns but for those of the outcome."""
-    found = resolve(candidates(lots, certs, metres), tolerance)
+    prof, cert = profiles(lots).select(*PROFILE).distinct(), _certificates(certs)
+    rest = without_exact(prof, cert)
+    near = resolve(near_candidates(rest.select(*PLACE).distinct(), classes(cert), metres, PLACE), tolerance, PLACE)
+    by_place = _rejoin(rest, near, "inner", PLACE).select(*[F.col(f"l.{c}") for c in PROFILE], *[F.col(f"r.{c}") for c in RESULT])
+    found = resolve(exact_candidates(prof, cert), tolerance).unionByName(by_place)
     base = profiles(lots.drop(*[c for c in RESULT if c in lots.columns]))
     out = _rejoin(base, found)
     own = [F.col(f"l.{c}") for c in base.columns if c not in ("code", "adresse", "kind")]
@@ -147,7 +169,8 @@ def report(linked: DataFrame, certs: DataFrame, cutoff: str = REFORM) -> DataFra
         F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("match_status") == s).alias(s) for s in STATUSES], F.count_if(F.col("filtre_type_applique")).alias("filtre_type"),
         F.count_if(sure & (F.coalesce(F.col("date_mutation").cast("string"), F.lit("")) < cutoff)).alias("pre_reforme"),
     )
-    return counted.crossJoin(towns)
+    both = counted.unionByName(towns, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def calibration_pairs(lots: DataFrame, certs: DataFrame) -> DataFrame:

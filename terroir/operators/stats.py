@@ -1,16 +1,20 @@
 """Group statistics, distributions and histograms.
 
-Counts, sums and means combine map-side. Exact medians and percentiles cannot: Spark keeps a count per distinct value, so they
-are meant for values of bounded variety per group; for billions of distinct values there are mergeable sketches.
+Counts, sums and means combine map-side. Exact medians per group cannot: Spark keeps a count per distinct value, so they
+are meant for values of bounded variety per group; for billions of distinct values there are mergeable sketches. Percentiles of a whole column are
+read off a distributed sort.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terroir.session import cut_lineage
+
 
 def aggregate_by(rows: DataFrame, keys: Sequence[str], value: str = "prix_m2") -> DataFrame:
     """keys, n, moyenne, mediane. Null values do not count; a group without values has no row; a null key is a group."""
@@ -33,11 +37,37 @@ def span(rows: DataFrame, value: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("debut"), F.max(value).alias("fin"))
 
 
+def values_at(rows: DataFrame, value: str, places: Callable[[int], Sequence[int]]) -> tuple[int, dict[int, float]]:
+    """n, and the values at the given places (from 0) of all non-null values in order.
+
+    The values are range-partitioned by a distributed sort; only the sizes of the partitions and the few values asked for
+    reach the driver.
+    """
+    v = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("v")).orderBy("v").withColumn("part", F.spark_partition_id())
+    kept = cut_lineage(v)
+    sizes = {r["part"]: r["n"] for r in kept.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n, start, wanted = sum(sizes.values()), 0, []
+    for part in sorted(sizes):
+        wanted += [(part, p - start, p) for p in sorted(set(places(n))) if start <= p < start + sizes[part]]
+        start += sizes[part]
+    if not wanted:
+        return n, {}
+    # sizes of equal values within the partitions concerned, so that ranking needs no row per value
+    counted = kept.where(F.col("part").isin(sorted({w[0] for w in wanted}))).groupBy("part", "v").agg(F.count(F.lit(1)).alias("c"))
+    upto = counted.withColumn("bis", F.sum("c").over(Window.partitionBy("part").orderBy("v")))
+    asked = rows.sparkSession.createDataFrame(wanted, "part int, i long, place long")
+    hit = upto.join(asked, "part").where((F.col("i") < F.col("bis")) & (F.col("i") >= F.col("bis") - F.col("c")))
+    return n, {r["place"]: r["v"] for r in hit.select("place", "v").collect()}
+
+
 def distribution(rows: DataFrame, value: str) -> DataFrame:
-    """One row: n, moyenne, minimum, maximum, p50, p75, p90, p95, p99, linearly interpolated; nulls where there is no value."""
-    p = F.percentile(value, F.array(*[F.lit(q) for q in (0.5, 0.75, 0.9, 0.95, 0.99)]))
-    one = rows.agg(F.count(value).alias("n"), F.avg(value).alias("moyenne"), F.min(value).alias("minimum"), F.max(value).alias("maximum"), p.alias("p"))
-    return one.select("n", "moyenne", "minimum", "maximum", *[F.col("p")[i].alias(f"p{q}") for i, q in enumerate((50, 75, 90, 95, 99))])
+    """One row: n, moyenne, minimum, maximum, p50, p75, p90, p95, p99, linearly interpolated; nulls where there is no value. Exact at any size."""
+    probabilities = (50, 75, 90, 95, 99)
+    at = lambda n, q: q / 100 * (n - 1)
+    n, v = values_at(rows, value, lambda n: [p for q in probabilities for p in (floor(at(n, q)), ceil(at(n, q)))] if n else [])
+    point = lambda q: None if not n else v[floor(at(n, q))] + (v[ceil(at(n, q))] - v[floor(at(n, q))]) * (at(n, q) - floor(at(n, q)))
+    one = rows.agg(F.count(value).alias("n"), F.avg(value).alias("moyenne"), F.min(value).alias("minimum"), F.max(value).alias("maximum"))
+    return one.select("*", *[F.lit(point(q)).cast("double").alias(f"p{q}") for q in probabilities])
 
 
 def histogram(rows: DataFrame, value: str, edges: Sequence[tuple[str, float | None]]) -> DataFrame:
@@ -69,17 +99,10 @@ def value_range(rows: DataFrame, value: str) -> DataFrame:
 
 
 def class_edges(rows: DataFrame, value: str, classes: int = 7) -> DataFrame:
-    """One row: bornes, the distinct values at places floor(i n / classes) of the sorted ones, i = 1 .. classes - 1.
-
-    The places are looked up in a distributed ranking; only the edges are gathered.
-    """
-    from pyspark.sql import Window
-
-    v = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    upto = v.withColumn("bis", F.sum("c").over(Window.orderBy("v"))).withColumn("total", F.sum("c").over(Window.partitionBy()))
-    places = F.explode(F.sequence(F.lit(1), F.lit(classes - 1))).alias("i")
-    hit = upto.select("v", "bis", "c", "total", places).where((F.floor(F.col("i") * F.col("total") / classes) < F.col("bis")) & (F.floor(F.col("i") * F.col("total") / classes) >= F.col("bis") - F.col("c")))
-    return hit.agg(F.array_sort(F.collect_set("v")).alias("bornes"))
+    """One row: bornes, the distinct values at places floor(i n / classes) of the sorted ones, i = 1 .. classes - 1."""
+    _, v = values_at(rows, value, lambda n: [i * n // classes for i in range(1, classes)] if n else [])
+    edges = F.array(*[F.lit(x) for x in sorted(set(v.values()))]).cast("array<double>")
+    return rows.sparkSession.range(1).select(edges.alias("bornes"))
 
 
 def share(part: Column, whole: Column) -> Column:

@@ -90,7 +90,7 @@ def _http(url: str) -> dict:
 
 
 class PagedSource(DataSource):
-    """spark.dataSource.register(PagedSource); spark.read.format("terroir_pages").schema(...).option("codes", "96007,96048")."""
+    """register(spark); spark.read.format("terroir_pages").schema(...).option("codes", "96007,96048")."""
 
     @classmethod
     def name(cls) -> str:
@@ -101,3 +101,9 @@ class PagedSource(DataSource):
 
     def reader(self, schema: StructType) -> PagedReader:
         return PagedReader(schema, dict(self.options))
+
+
+def register(spark) -> None:
+    """Makes ``spark.read.format("terroir_pages")`` known, with its filters pushed to the service."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(PagedSource)
