@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terroir.functions.geo import chord, haversine_np, unit_vectors
+from terroir.session import cut_lineage
 #: Parameters: coordinates that shape the splits at most, sites meant for one part, points of a leaf of the local tree.
 SAMPLE, PART, LEAF = 20_000, 20_000, 24
 
@@ -135,7 +136,7 @@ def close_pairs(points: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarr
 
 def site_pairs(sites: DataFrame, metres: float) -> DataFrame:
     """lat_a, lon_a, lat_b, lon_b of distinct sites (lat, lon) at most ``metres`` apart, a before b by (lat, lon)."""
-    sites = sites.select("lat", "lon")
+    sites = cut_lineage(sites.select("lat", "lon"))  # read three times: counted, sampled and placed
     total = sites.count()
     shape = sites.orderBy(F.xxhash64("lat", "lon")).limit(SAMPLE).toPandas()
     splits = Splits(unit_vectors(shape["lat"].to_numpy(float), shape["lon"].to_numpy(float)), -(-total // PART))
