@@ -11,9 +11,10 @@ Error: a value is known to one code (a factor of (high/low)**(2**-bits), 0.03 %
 most the noise of the sketched levels met on the way down, about sqrt(F2/width) each; F2 is estimated from the
 sketch itself, so every answer carries its own bracket, at ``SIGMAS`` standard deviations.
 
-Scale: the sketch is built where the rows lie, one per (group, salt); only counters are shuffled, at
-most ``salts`` of fixed size per group however many rows the group has, so a group with a third of all rows
-costs no more than any other. Nothing is collected.
+Scale: partial sketches are built where the rows lie, one per (task, group), so a group with a third of all rows is spread like
+any other. Few values travel as codes, many as counters of a fixed size. Partials are added in two rounds, so no task
+adds more than a bounded number of them. Where rows must be told apart by an id, they are shuffled by (group, id), which spreads every group evenly.
+Nothing is collected.
 
 Defined results: null and NaN values and infinities are ignored; values outside [low, high] are counted in the first or
 last code and answered as a bracket open on that side; null group keys form their own group; an empty group has no row; deletions beyond
@@ -30,10 +31,10 @@ from statistics import median
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terroir.session import partitions
+from terroir.session import cut_lineage, partitions
 
 SIGMAS = 4.0
 
@@ -99,7 +100,8 @@ class Sketching:
     def build(self, codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
         codes, back = np.unique(codes, return_inverse=True)
         out = np.zeros(self.size, dtype=np.int64)
-        self.add(out, codes, np.bincount(back, weights=weights))
+        if len(codes):
+            self.add(out, codes, np.bincount(back, weights=weights))
         return out
 
     def count(self, counters: np.ndarray, node: int, level: int) -> float:
@@ -148,6 +150,12 @@ class Sketching:
         mid = float(np.clip(math.sqrt(max(mid_lo[0], self.low) * min(mid_hi[0], self.high)), self.low, self.high))
         return mid, float(a[0]), float(b[1])
 
+    def pack_codes(self, codes: np.ndarray, weights: np.ndarray) -> bytes:
+        """The partial of some distinct codes: the codes themselves while that is shorter, else counters."""
+        if len(codes) * 12 > self.size:
+            return self.pack(self.build(codes, weights))
+        return zlib.compress(struct.pack("<cI", b"c", len(codes)) + codes.astype("<i4").tobytes() + weights.astype("<i8").tobytes(), 1)
+
     def pack(self, counters: np.ndarray) -> bytes:
         """Few counters as pairs, many as an array; compressed."""
         used = np.flatnonzero(counters)
@@ -155,13 +163,37 @@ class Sketching:
             return zlib.compress(struct.pack("<cI", b"s", len(used)) + used.astype("<i4").tobytes() + counters[used].astype("<i8").tobytes(), 1)
         return zlib.compress(struct.pack("<cI", b"d", len(counters)) + counters.astype("<i8").tobytes(), 1)
 
-    def unpack_into(self, total: np.ndarray, data: bytes) -> None:
-        raw = zlib.decompress(data)
-        kind, n = struct.unpack_from("<cI", raw)
-        if kind == b"d":
-            total += np.frombuffer(raw, "<i8", n, 5)
-        else:
-            total[np.frombuffer(raw, "<i4", n, 5)] += np.frombuffer(raw, "<i8", n, 5 + 4 * n)
+    def total(self, packed) -> tuple[np.ndarray, np.ndarray] | np.ndarray:
+        """The sum of packed sketches: distinct codes and weights while all of them are few, else counters."""
+        codes, weights, counters = [np.empty(0, dtype=np.int64)], [np.empty(0)], None
+        for data in packed:
+            raw = zlib.decompress(data)
+            kind, n = struct.unpack_from("<cI", raw)
+            if kind == b"c":
+                codes.append(np.frombuffer(raw, "<i4", n, 5).astype(np.int64))
+                weights.append(np.frombuffer(raw, "<i8", n, 5 + 4 * n).astype(float))
+                continue
+            counters = np.zeros(self.size, dtype=np.int64) if counters is None else counters
+            if kind == b"d":
+                counters += np.frombuffer(raw, "<i8", n, 5)
+            else:
+                counters[np.frombuffer(raw, "<i4", n, 5)] += np.frombuffer(raw, "<i8", n, 5 + 4 * n)
+        c, back = np.unique(np.concatenate(codes), return_inverse=True)
+        w = np.bincount(back, weights=np.concatenate(weights), minlength=len(c))
+        if counters is None:
+            return c, w
+        self.add(counters, c, w)
+        return counters
+
+    def repack(self, packed) -> tuple[int, bytes]:
+        """n and the packed sum of packed sketches."""
+        t = self.total(packed)
+        return (int(t[1].sum()), self.pack_codes(*t)) if isinstance(t, tuple) else (int(t[1]), self.pack(t))
+
+    def counters(self, packed) -> np.ndarray:
+        """The sum of packed sketches as counters."""
+        t = self.total(packed)
+        return self.build(*t) if isinstance(t, tuple) else t
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -182,54 +214,97 @@ def _mix_one(x: int, seed: int) -> int:
     return x ^ (x >> 31)
 
 
-def build_sketches(rows: DataFrame, group: list[str], value: str, shape: Sketching = Sketching(), weight: str | None = None, distinct_on: str | None = None, salts: int = 4) -> DataFrame:
-    """One row per group and salt: the group's columns and ``sketch`` (binary), to be merged.
+#: Parameter: partial sketches of a group that one task adds, about.
+FAN_IN = 64
+
+
+def _columns(df: DataFrame) -> str:
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema)
+
 
-    distinct_on: a row id; rows of a group that repeat it count once (the lowest value and weight). Salting is by that id
-    or by the value, so repeated rows meet in one task.
+def build_sketches(rows: DataFrame, group: list[str], value: str, shape: Sketching = Sketching(), weight: str | None = None, distinct_on: str | None = None) -> DataFrame:
+    """Partial sketches: the group's columns, ``part`` and ``sketch`` (binary), to be merged.
+
+    distinct_on: a row id; rows of a group that repeat it count once (the lowest value and weight).
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    salt = F.pmod(F.xxhash64(F.col(distinct_on or value)), F.lit(salts))
-    lean = rows.select(*group, F.col(value).cast("double").alias("_v"), w.alias("_w"), *([F.col(distinct_on).alias("_id")] if distinct_on else []), salt.cast("int").alias("_salt"))
+    lean = rows.select(*group, F.col(value).cast("double").alias("_v"), w.alias("_w"), *([F.col(distinct_on).alias("_id")] if distinct_on else []))
     lean = lean.where(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") != float("inf")))
-    lean = lean.repartition(partitions(rows.sparkSession), *group, "_salt")
     if distinct_on:
-        lean = lean.groupBy(*group, "_salt", "_id").agg(F.min("_v").alias("_v"), F.min("_w").alias("_w"))
-    keys = [*group, "_salt"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*group).schema) + ", sketch binary"
+        lean = lean.groupBy(*group, "_id").agg(F.min("_v").alias("_v"), F.min("_w").alias("_w"))
 
     def partial(batches):
-        """Distinct codes of each group of the partition with their weights; a sketch per group at the end."""
+        """Distinct codes of each group met in the task with their weights; a partial per group at the end."""
+        from pyspark import TaskContext
+
         held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-        for pdf in batches:
-            codes = shape.encode(pdf["_v"].to_numpy())
-            weights = pdf["_w"].to_numpy()
-            for k, at in pdf.groupby(keys, dropna=False, sort=False).indices.items():
-                k = k if isinstance(k, tuple) else (k,)
-                k = tuple(None if pd.isna(x) else x for x in k)
+        pending: list[tuple[pd.DataFrame, np.ndarray, np.ndarray]] = []
+
+        def settle():
+            if not pending:
+                return
+            keys = pd.concat([k for k, _, _ in pending], ignore_index=True)
+            codes, weights = (np.concatenate([p[i] for p in pending]) for i in (1, 2))
+            pending.clear()
+            for k, at in keys.groupby(group, dropna=False, sort=False).indices.items():
+                k = tuple(None if pd.isna(x) else x for x in (k if isinstance(k, tuple) else (k,)))
                 c, w = codes[at], weights[at]
                 if k in held:
                     c, w = np.concatenate([held[k][0], c]), np.concatenate([held[k][1], w])
                 c, back = np.unique(c, return_inverse=True)
                 held[k] = c, np.bincount(back, weights=w)
-        for k, (c, w) in held.items():
-            yield pd.DataFrame([[*k[:-1], shape.pack(shape.build(c, w))]], columns=[*group, "sketch"])
 
-    return lean.select(*keys, "_v", "_w").mapInPandas(partial, schema)
+        for pdf in batches:
+            pending.append((pdf[group], shape.encode(pdf["_v"].to_numpy()), pdf["_w"].to_numpy()))
+            if sum(len(p[1]) for p in pending) >= 100_000:
+                settle()
+        settle()
+        part = TaskContext.get().partitionId()
+        yield from _in_batches(([*k, part, shape.pack_codes(c, w)] for k, (c, w) in held.items()), [*group, "part", "sketch"])
+
+    return lean.select(*group, "_v", "_w").mapInPandas(partial, f"{_columns(rows.select(*group))}part int, sketch binary")
 
 
 def merge_sketches(sketches: DataFrame, group: list[str], shape: Sketching = Sketching()) -> DataFrame:
-    """One sketch per group, the sum of all; input from any number of partitions, files or days."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sketches.select(*group).schema) + ", n long, sketch binary"
+    """One sketch per group (group, n, sketch), the sum of all; input from any number of tasks, files or days.
 
-    def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(shape.size, dtype=np.int64)
-        for data in pdf["sketch"]:
-            shape.unpack_into(total, data)
-        head = pdf.iloc[:1][group].reset_index(drop=True)
-        return head.assign(n=int(total[1]), sketch=[shape.pack(total)])
+    A first round adds partials of tasks with the same number modulo the square root of what the session's width makes likely, a
+    second one those sums; with few tasks one round does.
+    """
 
-    return sketches.groupBy(*group).applyInPandas(add_up, schema)
+    def adder(keys: list[str]):
+        """Adds up the groups of a partition as they come; of each only a few packed partials are held."""
+
+        def add_up(batches):
+            held: dict[tuple, list[bytes]] = {}
+            for pdf in batches:
+                for *k, data in pdf[[*keys, "sketch"]].itertuples(index=False, name=None):
+                    own = held.setdefault(tuple(None if pd.isna(x) else x for x in k), [])
+                    own.append(data)
+                    if len(own) >= 16:
+                        own[:] = [shape.repack(own)[1]]
+            yield from _in_batches(([*k, *shape.repack(own)] for k, own in held.items()), [*keys, "n", "sketch"])
+
+        return add_up
+
+    width = partitions(sketches.sparkSession)
+    some = sketches.select(*group, "part", "sketch")
+    if width > FAN_IN:
+        some = some.withColumn("part", F.pmod("part", F.lit(FAN_IN)).cast("int")).repartition(width, *group, "part")
+        some = some.mapInPandas(adder([*group, "part"]), f"{_columns(sketches.select(*group))}part int, n long, sketch binary")
+    return some.select(*group, "sketch").repartition(width, *group).mapInPandas(adder(group), f"{_columns(sketches.select(*group))}n long, sketch binary")
+
+
+def _in_batches(rows, columns: list[str], size: int = 256):
+    """Rows as frames of a few hundred: a frame per row would cost more than what is in it."""
+    batch = []
+    for r in rows:
+        batch.append(r)
+        if len(batch) >= size:
+            yield pd.DataFrame(batch, columns=columns)
+            batch = []
+    if batch:
+        yield pd.DataFrame(batch, columns=columns)
 
 
 def percentiles(sketches: DataFrame, group: list[str], probabilities: dict[str, float], shape: Sketching = Sketching()) -> DataFrame:
@@ -241,8 +316,7 @@ def percentiles(sketches: DataFrame, group: list[str], probabilities: dict[str,
         for pdf in batches:
             answers = []
             for data in pdf["sketch"]:
-                total = np.zeros(shape.size, dtype=np.int64)
-                shape.unpack_into(total, data)
+                total = shape.counters([data])
                 answers.append([x for q in probabilities.values() for x in shape.bracket(total, q)])
             yield pd.concat([pdf[[*group, "n"]].reset_index(drop=True), pd.DataFrame(answers, columns=names, dtype=float)], axis=1)
 
@@ -278,12 +352,40 @@ def cell_percentiles(points: DataFrame, shape: Sketching = Sketching()) -> DataF
     return percentiles(merge_sketches(parts, CELL, shape), CELL, PROBABILITIES, shape)
 
 
+def exact_percentiles(points: DataFrame, brackets: DataFrame) -> DataFrame:
+    """CELL and the exact percentiles x_<p> of the cells of ``brackets`` (with n, <p>_low and <p>_high), linearly interpolated.
+
+    Of all points of a cell only the number below a bracket and the few values inside it are needed, so no task sees a whole cell. Should a
+    bracket not hold the ranks sought, the cell's percentiles are computed from all its points.
+    """
+    names = list(PROBABILITIES)
+    bounds = brackets.select(*CELL, "n", *[f"{p}_{s}" for p in names for s in ("low", "high")])
+    inside = cell_points(points).join(bounds.drop("n"), CELL).groupBy(*CELL, "point_id", *[f"{p}_{s}" for p in names for s in ("low", "high")]).agg(F.min("prix_m2").alias("v"))
+    v = F.col("v")
+    place = lambda p: F.struct(F.lit(p).alias("p"), F.when(v < F.col(f"{p}_low"), F.lit(None).cast("double")).otherwise(v).alias("v"))
+    placed = inside.select(*CELL, F.explode(F.array_compact(F.array(*[F.when(v <= F.col(f"{p}_high"), place(p)) for p in names]))).alias("x"))
+    counted = placed.groupBy(*CELL, "x.p", "x.v").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(*CELL, "p").orderBy(F.col("v").asc_nulls_first())
+    ranked = counted.withColumn("upto", F.sum("c").over(w)).join(bounds.select(*CELL, "n"), CELL)
+    q = F.create_map(*[x for p, prob in PROBABILITIES.items() for x in (F.lit(p), F.lit(prob))])[F.col("p")]
+    at = q * (F.col("n") - 1)
+    lies = lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("c"))
+    two = ranked.groupBy(*CELL, "p", "n").agg(F.max(F.when(lies(F.floor(at)), F.col("v"))).alias("a"), F.max(F.when(lies(F.ceil(at)), F.col("v"))).alias("b"))
+    part = at - F.floor(at)
+    one = two.select(*CELL, "p", (F.col("a") + (F.col("b") - F.col("a")) * part).alias("x")).groupBy(*CELL).agg(*[F.max(F.when(F.col("p") == p, F.col("x"))).alias(f"x_{p}") for p in names])
+    good = F.lit(True)
+    for p in names:
+        good = good & F.col(f"x_{p}").isNotNull()
+    lost = bounds.select(*CELL).join(one.where(good), CELL, "left_anti")
+    whole = cell_points(points).join(lost, CELL, "left_semi").groupBy(*CELL, "point_id").agg(F.min("prix_m2").alias("v")).groupBy(*CELL).agg(F.percentile("v", F.array(*[F.lit(x) for x in PROBABILITIES.values()])).alias("x"))
+    return one.where(good).unionByName(whole.select(*CELL, *[F.col("x")[i].alias(f"x_{p}") for i, p in enumerate(names)]))
+
+
 def found(points: DataFrame, agg_marche: DataFrame, agg_iris: DataFrame, tolerance: float = 0.05, shape: Sketching = Sketching()) -> DataFrame:
     """Published cells of which a percentile is off by more than the tolerance of the true one.
 
     A cell whose published values lie within the tolerance of every value its brackets allow is cleared
-    by the sketch. The others, wrong or too close to tell, have their exact percentiles computed
-    from their own points.
+    by the sketch. The others, wrong or too close to tell, have their exact percentiles computed inside their brackets.
     """
     sketched = cell_percentiles(points, shape)
     cells = published_cells(agg_marche, agg_iris)
@@ -293,15 +395,8 @@ def found(points: DataFrame, agg_marche: DataFrame, agg_iris: DataFrame, toleran
         return F.coalesce((pub <= low * (1 + tolerance)) & (pub >= high * (1 - tolerance)), F.lit(False))
 
     cleared = safe("p10") & safe("mediane") & safe("p90")
-    open_cells = cells.join(sketched.drop("n"), CELL, "inner").where(~cleared).select(*CELL, *[f"pub_{p}" for p in PROBABILITIES])
-    exact = (
-        cell_points(points)
-        .join(open_cells.select(*CELL).distinct(), CELL, "left_semi")
-        .groupBy(*CELL, "point_id")
-        .agg(F.min("prix_m2").alias("prix_m2"))
-        .groupBy(*CELL)
-        .agg(F.percentile("prix_m2", F.array(*[F.lit(q) for q in PROBABILITIES.values()])).alias("x"))
-    )
-    off = lambda i, p: F.coalesce(F.abs(F.col(f"pub_{p}") - F.col("x")[i]) > tolerance * F.abs(F.col("x")[i]), F.lit(False))
-    wrong = off(0, "p10") | off(1, "mediane") | off(2, "p90")
-    return open_cells.join(exact, CELL, "inner").where(wrong).select(*CELL).distinct()
+    open_cells = cut_lineage(cells.join(sketched, CELL).where(~cleared))
+    exact = exact_percentiles(points, open_cells.dropDuplicates(CELL))
+    off = lambda p: F.coalesce(F.abs(F.col(f"pub_{p}") - F.col(f"x_{p}")) > tolerance * F.abs(F.col(f"x_{p}")), F.lit(False))
+    wrong = off("p10") | off("mediane") | off("p90")
+    return open_cells.select(*CELL, *[f"pub_{p}" for p in PROBABILITIES]).join(exact, CELL).where(wrong).select(*CELL).distinct()

@@ -30,9 +30,9 @@ def test_merging_is_adding_and_deletions_undo():
     assert (both == apart).all()
     s.add(both, s.encode(b), -np.ones(3000))
     assert (both == s.build(s.encode(a), np.ones(3000))).all()
-    total = np.zeros(s.size, dtype=np.int64)
-    s.unpack_into(total, s.pack(both))
-    assert (total == both).all()
+    assert (s.counters([s.pack(both)]) == both).all()
+    few = [s.pack_codes(np.array([1, 5]), np.array([2.0, 1.0])), s.pack_codes(np.array([5]), np.array([-1.0]))]
+    assert [x.tolist() for x in s.total(few)] == [[1, 5], [2.0, 0.0]] and s.counters([*few, s.pack(both)])[1] == both[1] + 2
 
 
 def test_out_of_range_values_open_the_bracket():
