@@ -297,12 +297,12 @@ def _attach_by_tile(points: DataFrame, clean: DataFrame, out: str, lat: str, lon
                 if len(p):
                     (x0, y0), (x1, y1) = np.floor(p.min(axis=0) / TILE).astype(int), np.floor(p.max(axis=0) / TILE).astype(int)
                     rows += [(int(x), int(y), o, c, g) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)]
-            yield pd.DataFrame(rows, columns=["tx", "ty", "o", "c", "g"])
+            yield pd.DataFrame(rows, columns=["_tx", "_ty", "o", "c", "g"])
 
     kind = clean.schema["o"].dataType.simpleString()
-    spread = clean.mapInPandas(tiles, f"tx long, ty long, o {kind}, c string, g string").withColumn("salt", F.explode(F.array(*[F.lit(s) for s in range(salts)])))
+    spread = clean.mapInPandas(tiles, f"_tx long, _ty long, o {kind}, c string, g string").withColumn("_salt", F.explode(F.array(*[F.lit(s) for s in range(salts)])))
     tile = lambda c: F.floor(F.col(c) / TILE).cast("long")
-    placed = points.withColumn("tx", tile(lon)).withColumn("ty", tile(lat)).withColumn("salt", F.pmod(F.xxhash64(lat, lon, F.rand(7)), F.lit(salts)).cast("int"))
+    placed = points.withColumn("_tx", tile(lon)).withColumn("_ty", tile(lat)).withColumn("_salt", F.pmod(F.xxhash64(lat, lon, F.rand(7)), F.lit(salts)).cast("int"))
     names = [f.name for f in points.schema]
 
     def sweep(own: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
@@ -311,7 +311,7 @@ def _attach_by_tile(points: DataFrame, clean: DataFrame, out: str, lat: str, lon
         hit = Slabs([rings_of(g) for g in near["g"]]).first(own[lat].to_numpy(float), own[lon].to_numpy(float)) if len(own) else np.empty(0, dtype=int)
         return own[names].assign(**{out: codes[hit]})
 
-    keys = ["tx", "ty", "salt"]
+    keys = ["_tx", "_ty", "_salt"]
     return placed.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(sweep, f"{fields}, `{out}` string")
 
 

@@ -184,7 +184,7 @@ def all_sql() -> dict[str, str]:
         "filter_p9_iris": "SELECT * FROM agg_iris WHERE substr(code_iris, 1, 5) = '96007' AND type_local = 'Appartement'",
         "filter_p10_selection": f"SELECT match_id, commune, date_mutation, etiquette_dpe FROM dvf_dpe_matched WHERE type_local = 'Appartement' AND date_mutation BETWEEN '2020-01-01' AND '2023-12-31' AND {_GROUP} = 'A-C'",
         "filter_p11_certain_after_reform": f"SELECT match_id, match_status, date_mutation FROM dvf_dpe_matched WHERE {_IN}",
-        "clean_latest_delivery": "SELECT lot_id, max(recu_le) AS recu_le, arg_max(prix, recu_le) AS prix FROM (SELECT DISTINCT * FROM dvf_clean) GROUP BY lot_id",
+        "clean_latest_delivery": "SELECT lot_id, max(recu_le)::VARCHAR AS recu_le, arg_max(prix, recu_le) AS prix FROM (SELECT DISTINCT * FROM dvf_clean) GROUP BY lot_id",
         "fn_f1_french_decimal": "SELECT DISTINCT lot_id, surface::DECIMAL(18,1)::DOUBLE AS surface FROM dvf_clean",
         "fn_f2_compose": f"SELECT DISTINCT lot_id, concat_ws(' ', {_part('code_postal')}, {_part('type_local')}, {_part('commune')}) AS adresse FROM dvf_clean",
         "fn_f3_normalize_address": f"SELECT DISTINCT adresse_brute, {_normal('adresse_brute')} AS adresse FROM dvf_clean",

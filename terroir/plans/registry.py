@@ -174,7 +174,7 @@ def filter_p11_certain_after_reform(spark, d):
 
 @query
 def clean_latest_delivery(spark, d):
-    return clean.latest_delivery(table(spark, d, "dvf_clean")).select("lot_id", "recu_le", "prix")
+    return clean.latest_delivery(table(spark, d, "dvf_clean")).select("lot_id", F.col("recu_le").cast("string").alias("recu_le"), "prix")
 
 
 # --- functions ---
@@ -477,7 +477,7 @@ def sort_o4_top_candidates(spark, d):
     """The eight nearest certificates of each undecided profile: here those at the same address."""
     pool = linkage.undecided_pools(table(spark, d, "dvf_geocoded"), table(spark, d, "dpe_clean"))
     top = scoring.top_candidates(pool, linkage.PROFILE, F.abs(F.col("surface") - F.col("surface_c")), ["numero_dpe", "etiquette_dpe"], 3)
-    return top.select("code", "adresse", "lat", "lon", "surface", "kind", "pos", "numero_dpe")
+    return top.select("code", "adresse", "lat", "lon", "surface", "kind", F.col("pos").cast("long").alias("pos"), "numero_dpe")
 
 
 @query
