@@ -28,6 +28,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The periods of construction a certificate may name.
 PERIODS = ("avant 1948", "1948-1974", "1975-1977", "1978-1982", "1983-1988", "1989-2000", "2001-2005", "2006-2012", "2013-2021", "après 2021")
@@ -52,6 +53,14 @@ def usable_period(c: Column) -> Column:
     return F.coalesce(F.lower(trimmed(c)).isin(*PERIODS), F.lit(False))
 
 
+def _micros(rows: DataFrame, c: Column) -> Column:
+    """A time as a number. Times without a zone are not sent through the session's zone, whose clock changes would reorder them."""
+    if not isinstance(rows.select(c.alias("c")).schema["c"].dataType, T.TimestampNTZType):
+        return F.unix_micros(c.cast("timestamp"))
+    within = F.hour(c) * 3600 + F.minute(c) * 60
+    return (F.unix_date(c.cast("date")).cast("long") * 86_400 + within) * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
+
+
 def skyline_survivors(rows: DataFrame, key: str, row_id: str, fields: dict[str, tuple[Column, Column]], trust: Column, recency: Column, least_rows: int = 1) -> DataFrame:
     """One row per group: ``key``, ``n_candidates``, ``base_id`` (the undominated record first by policy)
     and for each field ``<field>``, ``<field>_from`` (id of the supplying record) and ``<field>_layer``.
@@ -66,7 +75,7 @@ def skyline_survivors(rows: DataFrame, key: str, row_id: str, fields: dict[str,
         F.col(row_id).cast("long").alias("id"),
         mask.alias("mask"),
         F.coalesce(trust.cast("int"), F.lit(_LOWEST)).alias("trust"),
-        F.coalesce(F.unix_micros(recency.cast("timestamp")), F.lit(_EARLIEST)).alias("recency"),
+        F.coalesce(_micros(rows, recency), F.lit(_EARLIEST)).alias("recency"),
         F.struct(*[F.when(ok, v).alias(f) for f, (v, ok) in fields.items()]).alias("v"),
     )
     graded = lean.groupBy("k", "mask", "trust").agg(F.max(F.struct("recency", "id", "v")).alias("best"), F.min("id").alias("lo"), F.max("id").alias("hi"))

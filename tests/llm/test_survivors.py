@@ -55,3 +55,15 @@ def test_edges(spark):
 def test_one_hot_group(spark):
     hot = spark.range(20_000).selectExpr("id + 1 AS match_id", "5L AS lot_id", f"IF(id % 2 = 0, '{N}', NULL) AS numero_dpe", "'D' AS etiquette_dpe", "CAST(NULL AS STRING) AS periode_construction", "CAST(id % 5 AS INT) AS confiance", "timestamp_seconds(id) AS apparie_le")
     assert rows(survivors.found(hot)) == [(5, 19_995, 20_000, 0)]
+
+
+def test_times_without_zone_keep_their_order(spark):
+    data = [(k, 1, N, E, P, 3, datetime(2024, 10, 27, 2, 30, 0, 10 - k)) for k in range(1, 5)] + [(9, 2, N, E, P, 3, datetime(1969, 12, 31, 23, 59, 59, 999_999)), (8, 2, N, E, P, 3, datetime(1970, 1, 1))]
+    ntz = spark.createDataFrame(data, SCHEMA.replace("apparie_le timestamp", "apparie_le timestamp_ntz"))
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Europe/Paris"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert rows(survivors.found(ntz)) == [(1, 1, 1, 1), (2, 8, 8, 8)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
