@@ -1,4 +1,7 @@
-"""Filters whose criteria are optional, and the predicates they are made of."""
+"""Filters whose criteria are optional, and the predicates they are made of.
+
+A predicate is null where a value is null, which ``where`` drops; without a guard it can be pushed to the scan.
+"""
 
 from __future__ import annotations
 
@@ -13,11 +16,11 @@ from terroir.functions.text import label_group
 def in_range(c: Column, lo=None, hi=None) -> Column:
     """lo <= c <= hi; an absent bound excludes nothing; null passes only if both are absent."""
     tests = ([c >= lo] if lo is not None else []) + ([c <= hi] if hi is not None else [])
-    return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False)) if tests else F.lit(True)
+    return reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
 
 
 def equals(c: Column, value) -> Column:
-    return F.lit(True) if value is None else F.coalesce(c == value, F.lit(False))
+    return F.lit(True) if value is None else c == value
 
 
 def town_of_iris(c: Column) -> Column:

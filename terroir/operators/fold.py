@@ -32,18 +32,15 @@ def sales(lots: DataFrame, lot_id: str = "lot_id", extra: Sequence[str] = (), ca
     keys = [*SALE, *[e for e in extra if e not in SALE]]
     own = [F.when(home, F.col(e)).alias(e) for e in extra if e not in SALE]
     lean = lots.select(*SALE, *own, home.alias("_home"), other.alias("_other"), F.when(home, kind).alias("_kind"), F.when(home, F.col("surface")).alias("_s"), F.when(home, F.struct(F.col(lot_id).alias("_id"), F.col("nature_mutation").alias("_nature"), *[F.col(c) for c in carry])).alias("_first"))
-    grouped = lean.groupBy(*keys, "_home").agg(F.count(F.lit(1)).alias("_n"), F.sum("_s").alias("_area"), F.min("_kind").alias("_k0"), F.max("_kind").alias("_k1"), F.max("_other").alias("_other"), F.min("_first").alias("_first"))
-    w = Window.partitionBy(*SALE)
-    whole = grouped.select(
-        "*",
-        F.sum(F.when(F.col("_home"), F.col("_n")).otherwise(0)).over(w).alias("n_lots"),
-        F.sum("_area").over(w).alias("_total"),
-        F.min("_k0").over(w).alias("_kmin"),
-        F.max("_k1").over(w).alias("_kmax"),
-        F.max("_other").over(w).alias("_built"),
-        F.min("_first").over(w)["_nature"].alias("_nature"),
-        F.row_number().over(w.orderBy(F.col("_home").desc(), F.col("_first").asc_nulls_last())).alias("_rank"),
-    )
+    parts = [F.count_if("_home").alias("_n"), F.sum("_s").alias("_area"), F.min("_kind").alias("_k0"), F.max("_kind").alias("_k1"), F.max("_other").alias("_other"), F.min("_first").alias("_first")]
+    if keys == list(SALE):  # a sale is one row: its aggregates are all there is
+        whole = lean.groupBy(*SALE).agg(*parts).select("*", F.col("_n").alias("n_lots"), F.col("_area").alias("_total"), F.col("_k0").alias("_kmin"), F.col("_k1").alias("_kmax"), F.col("_other").alias("_built"), F.col("_first")["_nature"].alias("_nature"), F.lit(1).alias("_rank"), (F.col("_n") > 0).alias("_home"))
+    else:
+        w = Window.partitionBy(*SALE)
+        whole = lean.groupBy(*keys, "_home").agg(*parts).select(
+            "*", F.sum("_n").over(w).alias("n_lots"), F.sum("_area").over(w).alias("_total"), F.min("_k0").over(w).alias("_kmin"), F.max("_k1").over(w).alias("_kmax"), F.max("_other").over(w).alias("_built"),
+            F.min("_first").over(w)["_nature"].alias("_nature"), F.row_number().over(w.orderBy(F.col("_home").desc(), F.col("_first").asc_nulls_last())).alias("_rank"),
+        )
     price = F.try_divide(F.col("prix"), F.col("_total"))
     reason = (
         F.when(F.col("n_lots") == 0, "sans_habitation").when(F.col("_built") | (F.col("_kmin") != F.col("_kmax")), "mixte")
@@ -80,7 +77,8 @@ def after(cutoff: str = REFORM) -> Column:
 
 
 def impact_rows(all_points: DataFrame, cutoff: str = REFORM, statuses: Sequence[str] = CERTAIN) -> DataFrame:
-    return all_points.where(certain(statuses) & after(cutoff))
+    # written without guards against null, which ``where`` drops anyway, so that over a table both tests reach the scan
+    return all_points.where(F.col("match_status").isin(*status_set(statuses)) & (F.col("date_mutation") >= cutoff))
 
 
 def impact_counts(all_points: DataFrame, cutoff: str = REFORM, statuses: Sequence[str] = CERTAIN, keep: Column | None = None) -> DataFrame:

@@ -318,7 +318,8 @@ def _attach_by_tile(points: DataFrame, clean: DataFrame, out: str, lat: str, lon
 def found(geocoded: DataFrame, iris: DataFrame, polygons: DataFrame, metres: float = 15.0) -> DataFrame:
     """genre, lot_a, lot_b, code_iris: neighbouring lots, and lots whose recorded region is not the one that holds them."""
     near = neighbours(geocoded, "lot_id", metres).select(F.lit("voisin").alias("genre"), F.col("lot_id_a").alias("lot_a"), F.col("lot_id_b").alias("lot_b"), F.lit("").alias("code_iris"))
-    placed = iris.where(F.col("lot_id").isNotNull() & _valid(F.col("lat"), F.col("lon"))).select("lot_id", "lat", "lon", "code_iris")
+    there = F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon")  # even off the globe: then no polygon holds it
+    placed = iris.where(F.col("lot_id").isNotNull() & there).select("lot_id", "lat", "lon", "code_iris")
     held = attach_region(placed, polygons).select("lot_id", F.coalesce("code_iris", F.lit("")).alias("recorded"), F.coalesce("region", F.lit("")).alias("code"))
     wrong = held.where(F.col("recorded") != F.col("code")).select(F.lit("region").alias("genre"), F.col("lot_id").alias("lot_a"), F.lit(0).cast("long").alias("lot_b"), F.col("code").alias("code_iris")).distinct()
     return near.unionByName(wrong)

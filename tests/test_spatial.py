@@ -86,6 +86,6 @@ def test_regions(spark, monkeypatch):
 
 def test_found_with_clashing_columns(spark):
     g = spark.createDataFrame([(1, 0.5, 0.5, "x", 1), (2, 0.50001, 0.5, "x", 2)], POINTS + ", region string, salt int")
-    i = spark.createDataFrame([(1, 0.5, 0.5, "B", "x"), (2, 0.5, 0.5, "A", "x"), (3, 9.0, 9.0, None, "x"), (4, 9.0, 9.0, "A", "x"), (5, None, 9.0, "A", "x")], POINTS + ", code_iris string, region string")
+    i = spark.createDataFrame([(1, 0.5, 0.5, "B", "x"), (2, 0.5, 0.5, "A", "x"), (3, 9.0, 9.0, None, "x"), (4, 9.0, 9.0, "A", "x"), (5, None, 9.0, "A", "x"), (6, 999.0, 9.0, "A", "x"), (7, 999.0, 9.0, None, "x")], POINTS + ", code_iris string, region string")
     got = rows(spatial.found(g, i, spark.createDataFrame(shapes(), POLYGONS)))
-    assert got == [("region", 1, 0, "A"), ("region", 4, 0, ""), ("voisin", 1, 2, "")]
+    assert got == [("region", 1, 0, "A"), ("region", 4, 0, ""), ("region", 6, 0, ""), ("voisin", 1, 2, "")]
