@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terroir.functions.text import label_group
+from terroir.functions.text import label_group, registry_town
 
 
 def in_range(c: Column, lo=None, hi=None) -> Column:
@@ -39,3 +39,13 @@ def filter_iris(rows: DataFrame, town=None, type_local=None) -> DataFrame:
 def selection(commune=None, type_local=None, date_from=None, date_to=None, group=None) -> Column:
     """Predicate of a user's selection over linked lots or points."""
     return equals(F.col("commune"), commune) & equals(F.col("type_local"), type_local) & equals(label_group(F.col("etiquette_dpe")), group) & in_range(F.col("date_mutation"), date_from, date_to)
+
+
+def perimeter(towns: DataFrame, department=None) -> DataFrame:
+    """The towns of the perimeter (nom, code_insee, departement), of one department if given."""
+    return towns.where(equals(F.col("departement"), department))
+
+
+def town_choices(towns: DataFrame) -> DataFrame:
+    """nom, code_insee, dvf_nom: each town by its display name, its code and its name in the sales registry."""
+    return towns.select("nom", "code_insee", registry_town(F.col("nom")).alias("dvf_nom"))

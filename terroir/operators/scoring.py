@@ -120,3 +120,17 @@ def summarize(evaluated: DataFrame, regimes: Sequence[str] = ("isole", "multi"))
     every = evaluated.sparkSession.createDataFrame([(x,) for x in regimes], "regime string").join(agg, "regime", "left").na.fill(0)
     at = F.when(F.col("resolus") > 0, F.col("ok_seuil") / F.col("resolus"))
     return every.select("regime", "n", F.when(F.col("n") > 0, F.col("ok") / F.col("n")).otherwise(0.0).alias("exactitude_top1"), "resolus", F.coalesce(at, F.lit(0.0)).alias("exactitude_a_seuil"), (1 - at).alias("taux_erreur_residuel"))
+
+
+def cases(pool: DataFrame, case: Sequence[str], sale: Sequence[str], model: str, version: str, lot_address: str = "adresse_brute") -> DataFrame:
+    """case, cle, etat: what is asked of each case and the key its verdict is kept by; pool has ``pos``."""
+    lot = pool.groupBy(*case).agg(*[F.min(c).alias(f"_{k}") for k, c in enumerate(sale)], F.min(_text(lot_address)).alias("_adresse"))
+    keyed = lot.join(pool_fingerprint(pool, case), list(case)).join(states(pool, case, lot_address), list(case))
+    key = cache_key(*[F.col(f"_{k}") for k in range(len(sale))], F.col("_adresse"), F.col("empreinte"), F.lit(model), F.lit(version))
+    return keyed.select(*case, key.alias("cle"), "etat")
+
+
+def incoherent(recorded: DataFrame, relinked: DataFrame, key: str, status: str) -> DataFrame:
+    """Rows recorded with a status that linking again does not give: the tables come from different runs."""
+    again = relinked.where(F.col("match_status") == status).select(key).distinct()
+    return recorded.where(F.col("match_status") == status).join(again, key, "left_anti")
