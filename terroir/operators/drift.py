@@ -5,12 +5,12 @@ the share of lines that have it and, as tagged alternatives, the types met there
 bounded histograms of the content (shapes, hashed values, magnitudes, ways of writing a date).
 Schemas of files that follow each other in a flux are fused: fields are paired by name, then lost and new fields by
 content, and every difference of the dominant alternative is reported. ``fused_types`` keeps all
-alternatives of a path and says where each first appeared; ``unified`` reads all lines into one table, in which
-a field of several types has a typed branch per alternative beside its canonical conversion.
+alternatives of a path and says where each first appeared; ``unified`` reads all lines into one table with a column for every
+canonical name, in which a field has a typed branch per alternative beside its canonical conversion.
 
 Scale: lines are reduced map-side to histograms of at most a few hundred bins per (file, field), so a file or a
 flux with a third of all lines is no hot task; then only the profiles of two neighbouring files meet. Only names of fields
-reach the driver (``unified``, to shape its columns).
+and their types reach the driver (``unified``, to shape its columns).
 
 Defined results: lines that are no JSON object have no fields but count as lines; null values count as
 present without a type; nested values have the type object or array; a file without lines is skipped, as
@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terroir.session import cut_lineage
+
 VALUE_BINS, SHAPE_BINS = 256, 128
 #: Shares: of lines for a field to belong to a file, of values for a field to be a date.
 PRESENT, DATED = 0.5, 0.8
@@ -241,13 +243,19 @@ CANONICAL = {
 CODES = ("code_insee", "code_postal")
 
 
-def canonical_fields(lines: DataFrame, files: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """The long table of all values under canonical names: fichier_id, ligne, champ, type, texte. A line delivered twice counts once."""
+def _canonical(fields: DataFrame, files: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows with fichier_id and champ, the latter made canonical."""
     w = Window.partitionBy("flux").orderBy("recu_le", "fichier_id")
     order = files.select("fichier_id", "flux", "recu_le").dropDuplicates(["fichier_id"]).select("fichier_id", "flux", F.row_number().over(w).alias("rang"))
-    names = lineage(changes(lines, files) if found is None else found, files)
-    spans = order.join(names, "flux").where(F.col("rang").between(F.col("depuis"), F.col("jusque"))).select("fichier_id", "champ", "canonique")
-    return fields_of(lines.dropDuplicates(["fichier_id", "ligne"])).join(spans, ["fichier_id", "champ"], "left").select("fichier_id", "ligne", F.coalesce("canonique", "champ").alias("champ"), "type", "texte")
+    spans = order.join(lineage(found, files), "flux").where(F.col("rang").between(F.col("depuis"), F.col("jusque"))).select("fichier_id", "champ", "canonique")
+    rest = [c for c in fields.columns if c not in ("fichier_id", "champ")]
+    return fields.join(spans, ["fichier_id", "champ"], "left").select("fichier_id", F.coalesce("canonique", "champ").alias("champ"), *rest)
+
+
+def canonical_fields(lines: DataFrame, files: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """The long table of all values under canonical names: fichier_id, ligne, champ, type, texte. A line delivered twice counts once."""
+    found = changes(lines, files) if found is None else found
+    return _canonical(fields_of(lines.dropDuplicates(["fichier_id", "ligne"])), files, found).select("fichier_id", "ligne", "champ", "type", "texte")
 
 
 def convert(name: str, target: str, kind: Column, text: Column) -> Column:
@@ -261,16 +269,37 @@ def convert(name: str, target: str, kind: Column, text: Column) -> Column:
     return text
 
 
+#: Type of a branch in the table; the content of nested values is kept as JSON.
+BRANCHES = {"string": "string", "integer": "long", "number": "double", "boolean": "boolean", "object": "string", "array": "string"}
+
+
+def _free(name: str, taken: set[str]) -> str:
+    """The name, numbered if a column is already called so; names of columns do not tell cases apart."""
+    k, out = 1, name
+    while out.lower() in taken:
+        k, out = k + 1, f"{name}_{k + 1}"
+    taken.add(out.lower())
+    return out
+
+
 def unified(lines: DataFrame, files: DataFrame, targets: dict[str, str] = CANONICAL, branches: bool = False) -> DataFrame:
-    """One row per line: fichier_id, ligne, one column per target in its canonical type and, with
-    ``branches``, ``<field>_<type>`` for every type of it."""
+    """One row per line: fichier_id, ligne, one column per canonical name of any file, in its canonical type if it is
+    a target and else as text, and, with ``branches``, ``<field>_<type>`` for every type met of it. Targets come first, then
+    the other names in order; a name already taken is numbered (``<name>_2``)."""
     kind, text = F.col("type"), F.col("texte")
-    long = canonical_fields(lines, files)
+    found = cut_lineage(changes(lines, files))
+    long = canonical_fields(lines, files, found)
+    met = defaultdict(set)
+    for r in _canonical(fields_of(lines).select("fichier_id", "champ", "type").distinct(), files, found).select("champ", "type").distinct().collect():
+        met[r["champ"]].add(r["type"])
+    names = [*targets, *sorted(met.keys() - targets.keys())]
+    taken = {"fichier_id", "ligne"}
+    main = {name: _free(name, taken) for name in names}
     columns = []
-    for name, target in targets.items():
+    for name in names:
         own = F.col("champ") == name
-        columns.append(F.max(F.when(own, convert(name, target, kind, text))).alias(name))
+        columns.append(F.max(F.when(own, convert(name, targets.get(name, "string"), kind, text))).alias(main[name]))
         if branches:
-            columns += [F.max(F.when(own & (kind == t), text.try_cast(c))).alias(f"{name}_{t}") for t, c in (("string", "string"), ("integer", "long"), ("number", "double"), ("boolean", "boolean"))]
+            columns += [F.max(F.when(own & (kind == t), text.try_cast(c))).alias(_free(f"{name}_{t}", taken)) for t, c in BRANCHES.items() if t in met[name]]
     every = lines.select("fichier_id", "ligne").distinct()
-    return every.join(long.where(F.col("champ").isin(*targets)).groupBy("fichier_id", "ligne").agg(*columns), ["fichier_id", "ligne"], "left")
+    return every.join(long.groupBy("fichier_id", "ligne").agg(*columns), ["fichier_id", "ligne"], "left")

@@ -99,3 +99,14 @@ def test_types_keep_every_alternative(spark):
     assert t == {("s", "number"): 10, ("s", "string"): 9, ("s", "integer"): 9}
     branched = drift.unified(*build(spark, lambda i: {"s": 1.5}, lambda i: {"s": "2,5"}), targets={"s": "double"}, branches=True)
     assert {(r["s"], r["s_number"], r["s_string"]) for r in branched.collect()} == {(1.5, 1.5, None), (2.5, None, "2,5")}
+
+
+def test_unified_keeps_fields_that_are_no_targets(spark):
+    first = lambda i: base(i, parcelle=f"AB{i:05d}")
+    second = lambda i: {k if k != "parcelle" else "section": v for k, v in first(i).items()} | {"vefa": bool(i % 2), "a.b c": {"x": i}, "Prix": i, "ligne": "L"}
+    out = drift.unified(*build(spark, first, second), targets={"prix": "double"}).orderBy("ligne", "fichier_id").collect()
+    assert len(out) == 120 and out[0].asDict().keys() == {"fichier_id", "ligne", "prix", "Prix_2", "a.b c", "date", "id", "ligne_2", "parcelle", "pieces", "vefa", "ville"}
+    for i in range(60):
+        new, old = out[2 * i], out[2 * i + 1]
+        assert new["parcelle"] == old["parcelle"] == f"AB{i:05d}" and new["vefa"] == str(bool(i % 2)).lower() and old["vefa"] is None
+        assert json.loads(new["a.b c"]) == {"x": i} and new["Prix_2"] == str(i) and new["prix"] == old["prix"] and new["ligne_2"] == "L"
