@@ -34,6 +34,12 @@ PRESENT, DATED = 0.5, 0.8
 #: Least likeness of content for a lost and a new field to be one.
 SAME_CONTENT = 0.55
 
+#: Names of the months without accents, January first.
+MONTHS = (
+    "janvier janv jan january", "fevrier fevr fev february feb", "mars mar march", "avril avr april apr", "mai may", "juin jun june",
+    "juillet juil july jul", "aout aou august aug", "septembre sept sep september", "octobre oct october", "novembre nov november", "decembre dec december",
+)
+
 _LONG = ["fichier_id", "ligne", "champ", "type", "texte"]
 
 
@@ -73,8 +79,17 @@ def date_code(kind: Column, text: Column) -> Column:
     return F.when(kind == "string", written).when(kind == "integer", counted)
 
 
+def _month(name: Column) -> Column:
+    """01 to 12 of the French or English name, or abbreviation, of a month; null for other words."""
+    plain = F.translate(F.lower(name), "éèêûùôäç", "eeeuuoac")
+    out = None
+    for k, names in enumerate(MONTHS, 1):
+        out = (F if out is None else out).when(plain.isin(*names.split()), f"{k:02d}")
+    return out
+
+
 def date_value(kind: Column, text: Column) -> Column:
-    """The date a value stands for, whatever its writing; null if none."""
+    """The date a value stands for, whatever its writing; null if none, or if a written month comes without a day."""
     code, n = date_code(kind, text), text.try_cast("long")
     read = lambda t, f: F.try_to_date(t, f)
     from_epoch = lambda days: F.date_add(F.to_date(F.lit("1970-01-01")), days.cast("int"))
@@ -83,6 +98,7 @@ def date_value(kind: Column, text: Column) -> Column:
         F.when(code.isin("iso", "iso time"), read(F.substring(text, 1, 10), "yyyy-MM-dd")).when(code == "compact", read(text, "yyyyMMdd"))
         .when(code.startswith("day first"), read(digits, "ddMMyyyy")).when(code.startswith("month first"), read(digits, "MMddyyyy"))
         .when(code.startswith("year first"), read(digits, "yyyyMMdd"))
+        .when(code == "month name", read(F.concat(F.right(text, F.lit(4)), _month(F.regexp_extract(text, r"\p{L}+", 0)), F.lpad(F.regexp_extract(text, r"^(\d{1,2}) ?\p{L}", 1), 2, "0")), "yyyyMMdd"))
         .when(code == "days", from_epoch(n)).when(code == "seconds", from_epoch(F.floor(n / 86400))).when(code == "milliseconds", from_epoch(F.floor(n / 86400000)))
     )
 
@@ -282,7 +298,7 @@ def _free(name: str, taken: set[str]) -> str:
     return out
 
 
-def unified(lines: DataFrame, files: DataFrame, targets: dict[str, str] = CANONICAL, branches: bool = False) -> DataFrame:
+def unified(lines: DataFrame, files: DataFrame, targets: dict[str, str] = CANONICAL, branches: bool = True) -> DataFrame:
     """One row per line: fichier_id, ligne, one column per canonical name of any file, in its canonical type if it is
     a target and else as text, and, with ``branches``, ``<field>_<type>`` for every type met of it. Targets come first, then
     the other names in order; a name already taken is numbered (``<name>_2``)."""

@@ -59,8 +59,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lines of all files as one table."""
-    return drift.unified(table(spark, sf_dir, "dvf_brut"), table(spark, sf_dir, "dvf_fichiers"))
+    """All lines of all files as one table: every field in its canonical conversion and in a branch per type."""
+    return drift.unified(table(spark, sf_dir, "dvf_brut"), table(spark, sf_dir, "dvf_fichiers"), branches=True)
 
 
 @query

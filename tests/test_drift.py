@@ -104,9 +104,21 @@ def test_types_keep_every_alternative(spark):
 def test_unified_keeps_fields_that_are_no_targets(spark):
     first = lambda i: base(i, parcelle=f"AB{i:05d}")
     second = lambda i: {k if k != "parcelle" else "section": v for k, v in first(i).items()} | {"vefa": bool(i % 2), "a.b c": {"x": i}, "Prix": i, "ligne": "L"}
-    out = drift.unified(*build(spark, first, second), targets={"prix": "double"}).orderBy("ligne", "fichier_id").collect()
+    out = drift.unified(*build(spark, first, second), targets={"prix": "double"}, branches=False).orderBy("ligne", "fichier_id").collect()
     assert len(out) == 120 and out[0].asDict().keys() == {"fichier_id", "ligne", "prix", "Prix_2", "a.b c", "date", "id", "ligne_2", "parcelle", "pieces", "vefa", "ville"}
     for i in range(60):
         new, old = out[2 * i], out[2 * i + 1]
         assert new["parcelle"] == old["parcelle"] == f"AB{i:05d}" and new["vefa"] == str(bool(i % 2)).lower() and old["vefa"] is None
         assert json.loads(new["a.b c"]) == {"x": i} and new["Prix_2"] == str(i) and new["prix"] == old["prix"] and new["ligne_2"] == "L"
+
+
+def test_table_keeps_what_cannot_be_converted(spark):
+    named = ["12 mars 2021", "3 févr. 2020", "1 August 2019", "31 février 2021", "mars 2021", "12 marche 2021"]
+    stray = [json.dumps({"prix": p, "date_mutation": d}) for p, d in zip([1.5, "sur demande", 3, True, {"x": 1}, [2]], named)]
+    out = drift.unified(*build(spark, stray)).orderBy("ligne").collect()
+    assert [str(r["date_mutation"]) for r in out] == ["2021-03-12", "2020-02-03", "2019-08-01", "None", "None", "None"]
+    assert [r["date_mutation_string"] for r in out] == named
+    assert [r["prix"] for r in out] == [1.5, None, 3.0, None, None, None]
+    assert [(r["prix_number"], r["prix_string"], r["prix_integer"], r["prix_boolean"], r["prix_object"], r["prix_array"]) for r in out] == [
+        (1.5, None, None, None, None, None), (None, "sur demande", None, None, None, None), (None, None, 3, None, None, None), (None, None, None, True, None, None), (None, None, None, None, '{"x":1}', None), (None, None, None, None, None, "[2]")
+    ]
