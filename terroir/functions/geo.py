@@ -31,6 +31,16 @@ def cell(degrees: Column, metres: float) -> Column:
     return F.floor(degrees / (metres / METRES_PER_DEGREE)).cast("long")
 
 
+def sphere_cells(lat: Column, lon: Column, metres: float, reach: float = 0.0) -> Column:
+    """The cubes of space, ``metres`` wide, that hold a coordinate on the sphere, or any place at most ``reach`` from it
+    along each axis: three numbers each. Nothing is special at the poles or the date line."""
+    a, b = F.radians(lat), F.radians(lon)
+    axes = (F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a))
+    steps = [F.sequence(*[F.floor((x * EARTH_RADIUS_M + s * reach) / metres).cast("long") for s in (-1, 1)]) for x in axes]
+    xs, ys, zs = steps
+    return F.flatten(F.transform(xs, lambda x: F.flatten(F.transform(ys, lambda y: F.transform(zs, lambda z: F.struct(x.alias("x"), y.alias("y"), z.alias("z")))))))
+
+
 def unit_vectors(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
     """n x 3 points of the unit sphere."""
     a, b = np.radians(lat), np.radians(lon)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -55,13 +56,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the session.
 
     The shared folder the cluster names in ``spark.checkpoint.dir`` is used as it is. Only where that
-    setting is absent, as in tests on one machine, a local temporary folder is set.
+    setting is absent and the master is local, as in tests, a local temporary folder is set; on a cluster, whose executors
+    could not read it, its absence is an error.
     """
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = context.getConf().get("spark.checkpoint.dir", "")
+    if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(named or Path(tempfile.mkdtemp(prefix="terroir-checkpoint-")).as_uri())
     return context._jsc.sc().getCheckpointDir().get()
 
