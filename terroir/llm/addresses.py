@@ -5,17 +5,18 @@
    residence, postcode and town. Abbreviations are resolved by dictionary; a way type with a typo
    keeps every type it may stand for.
 2. Candidates. Street names of a town are shingled (tokens and letter bigrams of the run-together name) and MinHashed;
-   names that share a band meet. In each band only the best supported name, the hub, is compared with the
-   others, so a band of any size costs one comparison per name, not all pairs.
+   names that share a band meet. In each band the best supported name, the hub, is compared with the others first, which
+   settles nearly all misspelt names. Only those that could be a slip of their hub but are not close to it go on to
+   meet the other names of their bands.
 3. Verification. An affine-gap alignment of tokens: substitutions cost the edits between two
    tokens after the abbreviation dictionary (none for an abbreviation and its long form), two tokens may align with
-   their run-together form, and leaving out a title is cheap while leaving out a name word is not. Two names
-   that are both well supported are two streets, however alike.
-4. Each name points to its best verified hub of higher support; following the pointers gives the street. A text without a
-   way type takes the one type its street has in the town, else the one type found at the same number.
+   their run-together form, and leaving out a title is cheap while leaving out a name word is not. A name
+   written more often than slips of the other would be (one-sided test of its count) is a street of its own, however alike.
+4. Each name points to its closest verified name of higher support; following the pointers to their end gives the street. A text
+   without a way type takes the one type its street has in the town, else the one type found at the same number.
 
-Scale: texts, then names, are reduced to distinct ones before any comparing; shuffles are by (town, text), (town, name) and band. No
-block is compared with itself; nothing is collected.
+Scale: texts, then names, are reduced to distinct ones before any comparing; shuffles are by (town, text), (town, name) and band. Names
+that cannot be within the edits allowed are told apart in the JVM, before alignment. Hot texts and locations are split by count. Nothing is collected.
 
 Defined results: null and blank texts, and texts without a number or a name, have no location; null towns are a
 town of their own name, by the town's name, else postcode; rows repeated count once.
@@ -29,9 +30,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terroir.operators.joins import spread_join
 from terroir.session import cut_lineage
 
 #: Way types and their abbreviations.
@@ -54,8 +56,9 @@ NUMBER_MARKS = frozenset(("NO", "N", "NUM", "NUMERO"))
 WAY_OF = {a: w for w, short in WAYS.items() for a in (w, *short)}
 TITLE_OF = {a: t for t, short in TITLES.items() for a in (t, *short)}
 
-#: Parameters: bands and rows of the signature; edits a street name may differ by; support below which a name may be a typo whatever the hub's.
-BANDS, ROWS, EDITS, FEW = 40, 3, 3.0, 5
+#: Parameters: bands and rows of the signature; edits a street name may differ by; greatest share of one slip among the writings of a name, and
+#: standard deviations by which its count may exceed that.
+BANDS, ROWS, EDITS, SLIP, SIGMAS = 40, 3, 3.0, 0.2, 1.64
 
 
 def fold(text: str) -> str:
@@ -227,23 +230,53 @@ def parse_texts(texts: DataFrame) -> DataFrame:
 
 def street_roots(parsed: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """town, name, root: the street name that each written name stands for."""
-    names = cut_lineage(parsed.groupBy("town", "name").agg(F.count(F.lit(1)).alias("support")))
+    names = parsed.groupBy("town", "name").agg(F.count(F.lit(1)).alias("support"))
 
     def sign(batches):
         for pdf in batches:
             yield pdf.assign(sig=[signature(n, bands, rows) for n in pdf["name"]])
 
-    signed = cut_lineage(names.mapInPandas(sign, "town string, name string, support long, sig array<long>"))
-    banded = signed.select("town", "name", "support", F.posexplode("sig").alias("band", "h"))
+    titles = F.filter(F.split("name", " "), lambda w: w.isin(*TITLE_OF))
+    plain = F.array_join(F.filter(F.split("name", " "), lambda w: ~w.isin(*TITLE_OF)), "")
+    signed = names.mapInPandas(sign, "town string, name string, support long, sig array<long>")
+    signed = cut_lineage(signed.select("town", F.struct("support", "name", F.replace("name", F.lit(" "), F.lit("")).alias("whole"), plain.alias("plain"), F.size(titles).alias("titles")).alias("it"), "sig"))
+    banded = signed.select("town", "it", F.posexplode("sig").alias("band", "h"))
+    band = ["town", "band", "h"]
     # the hub of a band: the best supported name, ties by name; a map-side reduction
-    hubs = banded.groupBy("town", "band", "h").agg(F.max(F.struct("support", "name")).alias("hub"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("town", "band", "h", F.col("hub.name").alias("hub"), F.col("hub.support").alias("hub_support"))
-    met = (
-        banded.join(hubs, ["town", "band", "h"])
-        .where((F.col("hub_support") > F.col("support")) | ((F.col("hub_support") == F.col("support")) & (F.col("hub") > F.col("name"))))
-        .where((F.col("support") < FEW) | (F.col("support") * 5 <= F.col("hub_support")))
-        .select("town", "name", "hub", "hub_support")
-        .distinct()
-    )
+    hubs = banded.groupBy(*band).agg(F.max("it").alias("hub"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
+    first = cut_lineage(banded.join(hubs, band).where(_may_be_slip()))
+    close = cut_lineage(_verified(first))
+    # the rest meets all names of its bands; a name that is no slip of the hub, whose support is highest, is none of the others
+    settled = close.select("town", F.col("name").alias("settled")).distinct()
+    open_ = first.join(settled, (first["town"] == settled["town"]) & (first["it.name"] == settled["settled"]), "left_anti").select(*band, "it", F.col("hub.name").alias("seen"))
+    rest = open_.join(banded.select(*band, F.col("it").alias("hub")), band).where((F.col("hub.name") != F.col("seen")) & _may_be_slip())
+    checked = close.unionByName(_verified(rest))
+    # the closest name; of equally close ones the best supported
+    chain = cut_lineage(checked.groupBy("town", "name").agg(F.min(F.struct("cost", (-F.col("hub_support")).alias("s"), "hub"))["hub"].alias("hub")))
+    while True:  # (support, name) grows along a chain, so there are no circles; what is left of a chain halves each time
+        nxt = chain.select("town", F.col("name").alias("hub"), F.col("hub").alias("next"))
+        if chain.join(nxt, ["town", "hub"], "left_semi").isEmpty():
+            break
+        chain = cut_lineage(chain.join(nxt, ["town", "hub"], "left").select("town", "name", F.coalesce("next", "hub").alias("hub")))
+    return signed.select("town", "it.name").join(chain, ["town", "name"], "left").select("town", "name", F.coalesce("hub", "name").alias("root"))
+
+
+def slip_limit(support: Column) -> Column:
+    """The greatest count with which a slip of a name of this support may be met."""
+    return SLIP * support + SIGMAS * F.sqrt(SLIP * support) + 0.5
+
+
+def _may_be_slip() -> Column:
+    more = (F.col("hub.support") > F.col("it.support")) | ((F.col("hub.support") == F.col("it.support")) & (F.col("hub.name") > F.col("it.name")))
+    return more & (F.col("it.support") <= slip_limit(F.col("hub.support")))
+
+
+def _verified(met: DataFrame) -> DataFrame:
+    """town, name, hub, hub_support, cost of the pairs within the edits allowed; input: town, it, hub."""
+    # an alignment of cost c takes 2c edits of letters at most once titles left out on one side are set apart
+    most = int(2 * EDITS)
+    near = lambda c: F.levenshtein(F.col(f"it.{c}"), F.col(f"hub.{c}"), most) >= 0
+    both = met.where(near("whole") | near("plain") | (F.col("it.titles") + F.col("hub.titles") > 1)).select("town", "it.name", F.col("hub.name").alias("hub"), F.col("hub.support").alias("hub_support")).distinct()
 
     def verify(batches):
         for pdf in batches:
@@ -251,14 +284,7 @@ def street_roots(parsed: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Dat
             pdf = pdf.assign(cost=cost)
             yield pdf[pdf["cost"] <= EDITS]
 
-    checked = met.mapInPandas(verify, "town string, name string, hub string, hub_support long, cost double")
-    # the closest hub; of equally close ones the best supported
-    up = cut_lineage(checked.groupBy("town", "name").agg(F.min(F.struct("cost", (-F.col("hub_support")).alias("s"), "hub"))["hub"].alias("hub")))
-    chain = up
-    for _ in range(3):  # support strictly grows along a chain, which halves at each jump
-        nxt = chain.select("town", F.col("name").alias("hub"), F.col("hub").alias("next"))
-        chain = chain.join(nxt, ["town", "hub"], "left").select("town", "name", F.coalesce("next", "hub").alias("hub"))
-    return names.join(chain, ["town", "name"], "left").select("town", "name", F.coalesce("hub", "name").alias("root"))
+    return both.mapInPandas(verify, "town string, name string, hub string, hub_support long, cost double")
 
 
 def locate(texts: DataFrame) -> DataFrame:
@@ -289,18 +315,33 @@ def town_texts(rows: DataFrame, town: str, text: str, town_name: str, postcode:
 LOCATION = ["town", "number", "repetition", "way", "root"]
 
 
-def found(lots: DataFrame, salts: int = 4) -> DataFrame:
+def _town() -> Column:
+    return F.coalesce(F.nullif(F.trim("code_insee"), F.lit("")), F.nullif(F.upper(F.trim("commune")), F.lit("")), F.nullif(F.trim("code_postal"), F.lit("")), F.lit(""))
+
+
+def _placed(lots: DataFrame) -> DataFrame:
+    keyed = town_texts(lots, "code_insee", "adresse_brute", "commune", "code_postal")
+    return locate(keyed.groupBy("town", "text").agg(F.max("town_name").alias("town_name")))
+
+
+def _texts_of_lots(lots: DataFrame) -> DataFrame:
+    return lots.where(F.col("lot_id").isNotNull() & (F.trim("adresse_brute") != "")).select(_town().alias("town"), F.col("adresse_brute").alias("text"), F.col("lot_id").alias("lot")).distinct()
+
+
+def classes(lots: DataFrame) -> DataFrame:
+    """lot_id, town, number, repetition, way, root: the location of every writing of every lot, one row each; lots whose
+    addresses denote no location are left out. This is the form of the result that grows with the lots, not with their pairs."""
+    rows = _texts_of_lots(lots)
+    return rows.join(_placed(lots), ["town", "text"]).select(F.col("lot").alias("lot_id"), *LOCATION).distinct()
+
+
+def found(lots: DataFrame) -> DataFrame:
     """lot_a < lot_b whose raw addresses are non-blank, differ and denote one location."""
-    keyed = town_texts(lots.withColumn("commune_", F.col("commune")), "code_insee", "adresse_brute", "commune_", "code_postal")
-    distinct = keyed.groupBy("town", "text").agg(F.max("town_name").alias("town_name"))
-    placed = cut_lineage(locate(distinct))
-    # pairs of texts within a location, each once; then the lots of either, salted
-    b = placed.select(*LOCATION, F.col("text").alias("text_b"))
-    pairs = placed.select(*LOCATION, F.col("text").alias("text_a")).join(b, LOCATION).where(F.col("text_a") < F.col("text_b")).select("town", "text_a", "text_b")
-    town = F.coalesce(F.nullif(F.trim("code_insee"), F.lit("")), F.nullif(F.upper(F.trim("commune")), F.lit("")), F.nullif(F.trim("code_postal"), F.lit("")), F.lit(""))
-    rows = lots.where(F.col("lot_id").isNotNull() & (F.trim("adresse_brute") != "")).select(town.alias("town"), F.col("adresse_brute").alias("text"), F.col("lot_id").alias("lot")).distinct()
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("lot"), F.lit(salts)).cast("int"))
-    every = F.explode(F.array(*[F.lit(s) for s in range(salts)]))
-    first = pairs.withColumn("salt", every).join(salted.select("town", F.col("text").alias("text_a"), "salt", F.col("lot").alias("a")), ["town", "text_a", "salt"]).select("town", "text_b", "a")
-    both = first.withColumn("salt", every).join(salted.select("town", F.col("text").alias("text_b"), "salt", F.col("lot").alias("b")), ["town", "text_b", "salt"])
+    placed = cut_lineage(_placed(lots))
+    # pairs of texts within a location, each once; then the lots of either
+    pairs = spread_join(placed.select(*LOCATION, F.col("text").alias("text_a")), placed.select(*LOCATION, F.col("text").alias("text_b")), LOCATION, ["text_a"], hot=1_000)
+    pairs = pairs.where(F.col("text_a") < F.col("text_b")).select("town", "text_a", "text_b")
+    rows = cut_lineage(_texts_of_lots(lots))
+    first = spread_join(rows.select("town", F.col("text").alias("text_a"), F.col("lot").alias("a")), pairs, ["town", "text_a"], ["a"]).select("town", "text_b", "a")
+    both = spread_join(rows.select("town", F.col("text").alias("text_b"), F.col("lot").alias("b")), first, ["town", "text_b"], ["b"])
     return both.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("lot_a"), F.greatest("a", "b").alias("lot_b")).distinct()

@@ -55,3 +55,67 @@ def test_edges(spark):
     assert a.found(lots(spark, odd).limit(0)).count() == 0
     nulls = spark.createDataFrame([(1, None, None, None, "12 RUE X Y"), (2, None, None, None, "12 R X Y"), (None, None, None, None, "12 R. X Y")], SCHEMA)
     assert rows(a.found(nulls)) == [(1, 2)]
+
+
+def roots(spark, supports, town="96007"):
+    """root by name; each name is written at as many numbers as its support."""
+    rows_ = [(town, f"{n} RUE {name}", str(n), "", "RUE", name) for name, k in supports.items() for n in range(k)]
+    parsed = spark.createDataFrame(rows_, "town string, text string, number string, repetition string, ways string, name string")
+    return {r["name"]: r["root"] for r in a.street_roots(parsed).collect()}
+
+
+def test_a_slip_that_recurs_is_still_a_slip(spark):
+    got = roots(spark, {"TALNESQUI ORVMIRJAR": 400, "TALNESUQI ORVMIRJAR": 50, "KELDOUBRA CHEPOUJAR": 100, "KELDOUBRA CHEPOUJAM": 90})
+    assert got["TALNESUQI ORVMIRJAR"] == got["TALNESQUI ORVMIRJAR"] == "TALNESQUI ORVMIRJAR"
+    assert got["KELDOUBRA CHEPOUJAR"] != got["KELDOUBRA CHEPOUJAM"]  # both well supported: two streets
+
+
+def test_the_limit_does_not_change_with_the_size_of_the_table(spark):
+    from pyspark.sql import functions as F
+
+    got = dict(rows(spark.createDataFrame([(1,), (10,), (1000,), (100_000,)], "h int").select("h", F.floor(a.slip_limit(F.col("h"))))))
+    assert got == {1: 1, 10: 4, 1000: 223, 100_000: 20_232}
+
+
+def test_chains_of_any_length_end_at_one_street(spark):
+    # each name is one letter further from the first than the one before, and comes before it by name; all are met once
+    word = list("TLNSQOVMJRKDBCHPFGWXYZTLNSQOVMJRKD")
+    names = ["".join(word)]
+    for k in range(12):
+        word[2 * k] = "A"
+        names.append("".join(word))
+    got = roots(spark, dict.fromkeys(names, 1))
+    assert set(got.values()) == {names[0]}
+
+
+def test_a_name_meets_more_than_the_hub_of_its_bands(spark):
+    # the hub of every shared band is another street, alike but too far off
+    got = roots(spark, {"TALNESQUI ORVMIRJAR GUEPOU": 90, "TALNESQUI ORVMIRJAR CHEBRA": 30, "TALNESQUI ORVMIRJAR CHEBAR": 1})
+    assert got == {"TALNESQUI ORVMIRJAR GUEPOU": "TALNESQUI ORVMIRJAR GUEPOU", "TALNESQUI ORVMIRJAR CHEBRA": "TALNESQUI ORVMIRJAR CHEBRA", "TALNESQUI ORVMIRJAR CHEBAR": "TALNESQUI ORVMIRJAR CHEBRA"}
+
+
+def test_the_prefilter_loses_no_close_pair(spark):
+    import random
+
+    rnd = random.Random(5)
+    syllables, titles = ["TAL", "NES", "QUI", "ORV", "MIR", "JAR", "KEL"], ["SAINT", "GENERAL", "MONSEIGNEUR"]
+    pairs = []
+    for _ in range(600):
+        x = ["".join(rnd.choices(syllables, k=2)) for _ in range(rnd.randint(1, 3))]
+        y = list(x)
+        for _ in range(rnd.randint(0, 3)):
+            i = rnd.randrange(len(y))
+            w, j = y[i], rnd.randrange(len(y[i]))
+            y[i] = rnd.choice([w[:j] + w[j + 1 :] or w, w[:j] + rnd.choice("ABC") + w[j:], w[:j] + w[j:][::-1][:2] + w[j + 2 :]])
+        x, y = ([t] + n if (t := rnd.choice([None, None, *titles])) else n for n in (x, y))
+        pairs.append((" ".join(x), " ".join(y)))
+    it = lambda n: (1, n, n.replace(" ", ""), "".join(w for w in n.split() if w not in a.TITLE_OF), sum(w in a.TITLE_OF for w in n.split()))
+    kind = "struct<support:bigint,name:string,whole:string,plain:string,titles:int>"
+    met = spark.createDataFrame([(str(k), x, it(x), it(y)) for k, (x, y) in enumerate(pairs)], f"town string, name string, it {kind}, hub {kind}")
+    got = {int(r["town"]) for r in a._verified(met).collect()}
+    assert got == {k for k, (x, y) in enumerate(pairs) if a.alignment(x.split(), y.split()) <= a.EDITS}
+
+
+def test_classes(spark):
+    got = rows(a.classes(lots(spark, SAME[:3] + OTHERS[:1] + ["", None])))
+    assert [r[:4] for r in got] == [(1, "96007", "12", ""), (2, "96007", "12", ""), (3, "96007", "12", ""), (4, "96007", "12", "BIS")]
