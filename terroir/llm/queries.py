@@ -39,10 +39,20 @@ def p3_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.cascade(table(spark, sf_dir, "dvf_dpe_matched"), table(spark, sf_dir, "dpe_clean"))
 
 
+def p3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of the cascade with the precision measured of each."""
+    return entities.rules(table(spark, sf_dir, "dvf_dpe_matched"), table(spark, sf_dir, "dpe_clean"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return addresses.found(table(spark, sf_dir, "dvf_clean"))
 
 
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The location of every writing of every lot: one row each, whatever the number of lots at a location."""
+    return addresses.classes(table(spark, sf_dir, "dvf_clean"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -61,7 +71,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_percentiles, p3_found, p3_cascade, p5_found, p7_ids, p8_found, p9_found, p9_restored)}
+    return {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_percentiles, p3_found, p3_cascade, p3_rules, p5_found, p5_classes, p7_ids, p8_found, p9_found, p9_restored)}
 
 
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
