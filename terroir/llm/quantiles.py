@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 
 from terroir.session import cut_lineage, partitions
 
-SIGMAS = 4.0
+#: Standard deviations of a rank that a bracket spans to either side.
+SIGMAS = 5.0
 
 
 @dataclass(frozen=True)
@@ -347,56 +348,115 @@ def published_cells(agg_marche: DataFrame, agg_iris: DataFrame) -> DataFrame:
 
 
 def cell_percentiles(points: DataFrame, shape: Sketching = Sketching()) -> DataFrame:
-    """Sketch percentiles, with brackets, of every cell of both marts."""
-    parts = build_sketches(cell_points(points), CELL, "prix_m2", shape, distinct_on="point_id")
+    """Sketch percentiles, with brackets, of every cell of both marts; infinite prices count as the greatest or least number."""
+    most = F.lit(1e308)
+    finite = cell_points(points).withColumn("prix_m2", F.greatest(F.least("prix_m2", most), -most))
+    parts = build_sketches(finite, CELL, "prix_m2", shape, distinct_on="point_id")
     return percentiles(merge_sketches(parts, CELL, shape), CELL, PROBABILITIES, shape)
 
 
-def exact_percentiles(points: DataFrame, brackets: DataFrame) -> DataFrame:
-    """CELL and the exact percentiles x_<p> of the cells of ``brackets`` (with n, <p>_low and <p>_high), linearly interpolated.
+def _between(low: Column, high: Column, p: str) -> Column:
+    """(percentile, value) of a value at or below the upper bound of its bracket; below the lower one the value is null: it is only counted."""
+    v = F.col("v")
+    return F.when(v <= high, F.struct(F.lit(p).alias("p"), F.when(v < low, F.lit(None).cast("double")).otherwise(v).alias("v")))
 
-    Of all points of a cell only the number below a bracket and the few values inside it are needed, so no task sees a whole cell. Should a
-    bracket not hold the ranks sought, the cell's percentiles are computed from all its points.
-    """
+
+def _interpolated(counted: DataFrame, sizes: DataFrame) -> DataFrame:
+    """CELL and x_<p>, linearly interpolated; ``counted``: CELL, p, v, c, where the rows with null v stand before all others. x_<p> is null unless both ranks
+    it lies between are held by rows with a value."""
     names = list(PROBABILITIES)
-    bounds = brackets.select(*CELL, "n", *[f"{p}_{s}" for p in names for s in ("low", "high")])
-    inside = cell_points(points).join(bounds.drop("n"), CELL).groupBy(*CELL, "point_id", *[f"{p}_{s}" for p in names for s in ("low", "high")]).agg(F.min("prix_m2").alias("v"))
-    v = F.col("v")
-    place = lambda p: F.struct(F.lit(p).alias("p"), F.when(v < F.col(f"{p}_low"), F.lit(None).cast("double")).otherwise(v).alias("v"))
-    placed = inside.select(*CELL, F.explode(F.array_compact(F.array(*[F.when(v <= F.col(f"{p}_high"), place(p)) for p in names]))).alias("x"))
-    counted = placed.groupBy(*CELL, "x.p", "x.v").agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy(*CELL, "p").orderBy(F.col("v").asc_nulls_first())
-    ranked = counted.withColumn("upto", F.sum("c").over(w)).join(bounds.select(*CELL, "n"), CELL)
+    ranked = counted.withColumn("upto", F.sum("c").over(w)).join(sizes, CELL)
     q = F.create_map(*[x for p, prob in PROBABILITIES.items() for x in (F.lit(p), F.lit(prob))])[F.col("p")]
     at = q * (F.col("n") - 1)
     lies = lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("c"))
     two = ranked.groupBy(*CELL, "p", "n").agg(F.max(F.when(lies(F.floor(at)), F.col("v"))).alias("a"), F.max(F.when(lies(F.ceil(at)), F.col("v"))).alias("b"))
     part = at - F.floor(at)
-    one = two.select(*CELL, "p", (F.col("a") + (F.col("b") - F.col("a")) * part).alias("x")).groupBy(*CELL).agg(*[F.max(F.when(F.col("p") == p, F.col("x"))).alias(f"x_{p}") for p in names])
+    return two.select(*CELL, "p", F.when(part == 0, F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * part).alias("x")).groupBy(*CELL).agg(*[F.max(F.when(F.col("p") == p, F.col("x"))).alias(f"x_{p}") for p in names])
+
+
+def _distinct_points(points: DataFrame, cells: DataFrame) -> DataFrame:
+    """CELL, point_id, v of the points of some cells, each once; the columns of ``cells`` beside CELL are kept. Few cells travel to the scan."""
+    kept = [c for c in cells.columns if c not in CELL]
+    return cell_points(points).join(cells, CELL).groupBy(*CELL, "point_id", *kept).agg(F.min("prix_m2").alias("v"))
+
+
+def exact_percentiles(points: DataFrame, brackets: DataFrame) -> DataFrame:
+    """CELL and the exact percentiles x_<p> of the cells of ``brackets`` (with n, <p>_low and <p>_high), linearly interpolated.
+
+    Of all points of a cell only the number below a bracket and the few values inside it are needed, so no task sees a whole cell. Should a
+    bracket not hold the ranks sought, the cell's points are counted by class of value first (``_by_classes``).
+    """
+    names = list(PROBABILITIES)
+    bounds = brackets.select(*CELL, "n", *[f"{p}_{s}" for p in names for s in ("low", "high")])
+    placed = _distinct_points(points, bounds.drop("n")).select(*CELL, F.explode(F.array_compact(F.array(*[_between(F.col(f"{p}_low"), F.col(f"{p}_high"), p) for p in names]))).alias("x"))
+    one = cut_lineage(_interpolated(placed.groupBy(*CELL, "x.p", "x.v").agg(F.count(F.lit(1)).alias("c")), bounds.select(*CELL, "n")))
     good = F.lit(True)
     for p in names:
         good = good & F.col(f"x_{p}").isNotNull()
-    lost = bounds.select(*CELL).join(one.where(good), CELL, "left_anti")
-    whole = cell_points(points).join(lost, CELL, "left_semi").groupBy(*CELL, "point_id").agg(F.min("prix_m2").alias("v")).groupBy(*CELL).agg(F.percentile("v", F.array(*[F.lit(x) for x in PROBABILITIES.values()])).alias("x"))
-    return one.where(good).unionByName(whole.select(*CELL, *[F.col("x")[i].alias(f"x_{p}") for i, p in enumerate(names)]))
+    lost = cut_lineage(bounds.select(*CELL).join(one.where(good), CELL, "left_anti"))
+    return one.where(good) if lost.isEmpty() else one.where(good).unionByName(_by_classes(points, lost))
+
+
+def _by_classes(points: DataFrame, cells: DataFrame, bits: int = 20) -> DataFrame:
+    """CELL and x_<p> of cells about whose values nothing is known: values are counted by class, and only those of
+    the classes that hold a rank sought are told apart. A task sees the counts of a cell's classes or the values of a few of them, not the cell."""
+    names = list(PROBABILITIES)
+    mine = cut_lineage(_distinct_points(points, cells))
+    # classes keep the order of the values: they are even on a logarithmic scale on both sides of zero, infinities apart
+    order = F.when(F.col("v") == 0, 0.0).otherwise(F.signum("v") * F.log1p(F.abs("v")))
+    rank_class = F.when(F.abs(F.col("v")) == float("inf"), F.signum("v") * F.lit(float(1 << 62))).otherwise(F.floor(order * ((1 << bits) / 1024))).cast("double")
+    classed = mine.withColumn("g", rank_class)
+    size = mine.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*CELL).orderBy("g")
+    classes = classed.groupBy(*CELL, "g").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(w)).join(size, CELL)
+    wanted = None
+    for p, prob in PROBABILITIES.items():
+        at = F.lit(prob) * (F.col("n") - 1)
+        ends = [(r < F.col("upto")) & (r >= F.col("upto") - F.col("c")) for r in (F.floor(at), F.ceil(at))]
+        own = classes.groupBy(*CELL).agg(F.min(F.when(ends[0], F.col("g"))).alias("lo"), F.max(F.when(ends[1], F.col("g"))).alias("hi")).withColumn("p", F.lit(p))
+        wanted = own if wanted is None else wanted.unionByName(own)
+    met = classed.join(wanted, CELL).where(F.col("g") <= F.col("hi"))
+    counted = met.groupBy(*CELL, "p", F.when(F.col("g") >= F.col("lo"), F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    return _interpolated(counted, size).select(*CELL, *[f"x_{p}" for p in names])
 
 
 def found(points: DataFrame, agg_marche: DataFrame, agg_iris: DataFrame, tolerance: float = 0.05, shape: Sketching = Sketching()) -> DataFrame:
     """Published cells of which a percentile is off by more than the tolerance of the true one.
 
-    A cell whose published values lie within the tolerance of every value its brackets allow is cleared
-    by the sketch. The others, wrong or too close to tell, have their exact percentiles computed inside their brackets.
+    The sketches decide: a cell is wrong if one of its figures is off from every value the bracket allows, and right if all are within the tolerance of
+    every one. Only where the limit of the tolerance falls inside a bracket are the cell's exact percentiles computed, inside the brackets.
     """
-    sketched = cell_percentiles(points, shape)
-    cells = published_cells(agg_marche, agg_iris)
-
-    def safe(p: str) -> Column:
-        low, high, pub = F.col(f"{p}_low"), F.col(f"{p}_high"), F.col(f"pub_{p}")
-        return F.coalesce((pub <= low * (1 + tolerance)) & (pub >= high * (1 - tolerance)), F.lit(False))
-
-    cleared = safe("p10") & safe("mediane") & safe("p90")
-    open_cells = cut_lineage(cells.join(sketched, CELL).where(~cleared))
+    judged = cut_lineage(judge_cells(points, agg_marche, agg_iris, tolerance, shape))
+    told = judged.where("verdict = 'wrong'").select(*CELL)
+    open_cells = judged.where("verdict = 'open'")
+    if open_cells.isEmpty():
+        return told.distinct()
     exact = exact_percentiles(points, open_cells.dropDuplicates(CELL))
     off = lambda p: F.coalesce(F.abs(F.col(f"pub_{p}") - F.col(f"x_{p}")) > tolerance * F.abs(F.col(f"x_{p}")), F.lit(False))
     wrong = off("p10") | off("mediane") | off("p90")
-    return open_cells.select(*CELL, *[f"pub_{p}" for p in PROBABILITIES]).join(exact, CELL).where(wrong).select(*CELL).distinct()
+    return told.unionByName(open_cells.join(exact, CELL).where(wrong).select(*CELL)).distinct()
+
+
+def judge_cells(points: DataFrame, agg_marche: DataFrame, agg_iris: DataFrame, tolerance: float = 0.05, shape: Sketching = Sketching()) -> DataFrame:
+    """Published cells that have points, with their figures, the sketches' brackets and ``verdict``: wrong, right or open. A figure that is not published is
+    right whatever the points."""
+
+    def verdict(p: str) -> Column:
+        low, high, pub = F.col(f"{p}_low"), F.col(f"{p}_high"), F.col(f"pub_{p}")
+        # values of either sign: the limits of the tolerance lie on either side of the value, the wider the larger it is
+        outer = (pub > high + tolerance * F.abs(high)) | (pub < low - tolerance * F.abs(low))
+        inner = (low > -math.inf) & (high < math.inf) & (pub <= low + tolerance * F.abs(low)) & (pub >= high - tolerance * F.abs(high))
+        return F.when(pub.isNull() | inner, 0).when(outer, 2).otherwise(1)
+
+    cells = published_cells(agg_marche, agg_iris).join(cell_percentiles(points, shape), CELL)
+    worst = F.greatest(*[verdict(p) for p in PROBABILITIES])
+    return cells.withColumn("verdict", F.when(worst == 2, "wrong").when(worst == 1, "open").otherwise("right"))
+
+
+def bracketed(points: DataFrame, shape: Sketching = Sketching()) -> DataFrame:
+    """CELL, n, the exact percentiles of every cell and whether the sketch's brackets hold them."""
+    sketched = cut_lineage(cell_percentiles(points, shape))
+    both = sketched.join(exact_percentiles(points, sketched), CELL)
+    inside = [(F.col(f"x_{p}").between(F.col(f"{p}_low"), F.col(f"{p}_high"))).alias(f"{p}_dedans") for p in PROBABILITIES]
+    return both.select(*CELL, "n", *[F.round(f"x_{p}", 3).alias(p) for p in PROBABILITIES], *inside)

@@ -30,6 +30,11 @@ def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.cell_percentiles(table(spark, sf_dir, "points_marche"))
 
 
+def p2_brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact percentiles of every cell and whether the brackets of its sketch hold them."""
+    return quantiles.bracketed(table(spark, sf_dir, "points_marche"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.found(table(spark, sf_dir, "dvf_dpe_matched"), table(spark, sf_dir, "dpe_clean"))
 
@@ -71,7 +76,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_percentiles, p3_found, p3_cascade, p3_rules, p5_found, p5_classes, p7_ids, p8_found, p9_found, p9_restored)}
+    return {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_percentiles, p2_brackets, p3_found, p3_cascade, p3_rules, p5_found, p5_classes, p7_ids, p8_found, p9_found, p9_restored)}
 
 
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -80,6 +85,14 @@ _LABEL = f"regexp_full_match(upper({_TRIM.format('etiquette_dpe')}), '[A-G]')"
 _PERIOD = f"lower({_TRIM.format('periode_construction')}) IN ({', '.join(repr(p) for p in survivors.PERIODS)})"
 
 
+_CELLS = """
+              SELECT 'agg_marche' AS mart, edition, commune AS lieu, annee, type_local, point_id, min(prix_m2) AS prix_m2 FROM points_marche
+              WHERE annee IS NOT NULL AND commune IS NOT NULL AND prix_m2 IS NOT NULL AND NOT isnan(prix_m2) GROUP BY ALL
+              UNION ALL
+              SELECT 'agg_iris', edition, code_iris, '', type_local, point_id, min(prix_m2) FROM points_marche
+              WHERE code_iris IS NOT NULL AND prix_m2 IS NOT NULL AND NOT isnan(prix_m2) GROUP BY ALL"""
+
+
 def _first(value: str, usable: str) -> str:
     return f"arg_max({value}, (coalesce(confiance, -2147483648), coalesce(epoch_us(apparie_le), -9223372036854775808), match_id)) FILTER ({usable})"
 
@@ -95,13 +108,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT lot_id, {_first('match_id', 'true')} AS base_id, {_first(f"upper({_TRIM.format('numero_dpe')})", _NUMBER)} AS numero_dpe,
                    {_first(f"upper({_TRIM.format('etiquette_dpe')})", _LABEL)} AS etiquette_dpe, {_first(f"lower({_TRIM.format('periode_construction')})", _PERIOD)} AS periode_construction
             FROM dvf_dpe_matched WHERE lot_id IS NOT NULL GROUP BY lot_id""",
+        "p2_brackets": f"""
+            WITH p AS ({_CELLS})
+            SELECT mart, edition, lieu, annee, type_local, count(*) AS n, round({cell.format(0.1)}, 3) AS p10, round({cell.format(0.5)}, 3) AS mediane, round({cell.format(0.9)}, 3) AS p90,
+                   true AS p10_dedans, true AS mediane_dedans, true AS p90_dedans
+            FROM p GROUP BY mart, edition, lieu, annee, type_local""",
         "p2_found": f"""
-            WITH p AS (
-              SELECT 'agg_marche' AS mart, edition, commune AS lieu, annee, type_local, point_id, min(prix_m2) AS prix_m2 FROM points_marche
-              WHERE annee IS NOT NULL AND commune IS NOT NULL AND prix_m2 IS NOT NULL AND NOT isnan(prix_m2) GROUP BY ALL
-              UNION ALL
-              SELECT 'agg_iris', edition, code_iris, '', type_local, point_id, min(prix_m2) FROM points_marche
-              WHERE code_iris IS NOT NULL AND prix_m2 IS NOT NULL AND NOT isnan(prix_m2) GROUP BY ALL),
+            WITH p AS ({_CELLS}),
             e AS (SELECT mart, edition, lieu, annee, type_local, {cell.format(0.1)} AS e10, {cell.format(0.5)} AS e50, {cell.format(0.9)} AS e90 FROM p GROUP BY ALL),
             c AS (SELECT 'agg_marche' AS mart, edition, commune AS lieu, annee, type_local, p10, mediane, p90 FROM agg_marche
                   UNION ALL SELECT 'agg_iris', edition, code_iris, '', type_local, p10, mediane, p90 FROM agg_iris)

@@ -87,8 +87,8 @@ def test_places_stand_in_for_a_missing_address(spark):
 def test_a_hot_location(spark, monkeypatch):
     from terroir.operators import joins
 
-    lots = [lot(k, "1 RUE ALPHA BRAVO", s=30.0 + k % 40) for k in range(1, 201)] + KNOWN_LOTS
+    lots = [lot(k, "1 RUE ALPHA BRAVO", s=30.0 + k % 40) for k in range(1001, 1201)] + KNOWN_LOTS
     certs = [cert(k, "1 RUE ALPHA BRAVO", s=30.0 + k) for k in range(40)] + KNOWN_CERTS
-    want = sorted(((k, name(c)) for k in range(1, 201) for c in range(40) if abs((30 + k % 40) - (30 + c)) <= 3), key=str)
+    want = sorted(((k, name(c)) for k in range(1001, 1201) for c in range(40) if abs((30 + k % 40) - (30 + c)) <= 3), key=str)
     monkeypatch.setattr(joins.spread_join, "__defaults__", (5,))
     assert run(spark, lots, certs) == want

@@ -87,3 +87,25 @@ def test_found_on_empty(spark):
 def test_one_hash_for_one_and_many():
     x = np.array([0, 1, 77, 2**40], dtype=np.uint64)
     assert [int(v) for v in quantiles._mix(x, 12345)] == [quantiles._mix_one(int(v), 12345) for v in x]
+
+
+def test_cells_about_which_nothing_is_known(spark):
+    r = np.random.default_rng(8)
+    groups = {"A": r.lognormal(8, 0.6, 500), "B": r.normal(0, 1e4, 300), "C": np.array([5.0]), "D": np.repeat([-3.0, 0.0, 7.5], [5, 1, 4]), "E": np.array([1e300, -1e300, 1e-300, 0.0])}
+    pts = spark.createDataFrame([(k, 1, None, g, "2020", "Maison", None, float(x)) for g, v in groups.items() for k, x in enumerate(v)], POINTS)
+    cells = pts.selectExpr("'agg_marche' AS mart", "edition", "commune AS lieu", "annee", "type_local").distinct()
+    got = {r["lieu"]: (r["x_p10"], r["x_mediane"], r["x_p90"]) for r in quantiles._by_classes(pts, cells).collect()}
+    assert {g: pytest.approx(np.quantile(v, [0.1, 0.5, 0.9])) for g, v in groups.items()} == got
+    # brackets that miss lead there
+    wrong = cells.selectExpr("*", "CAST(1 AS BIGINT) AS n", *[f"{x}D AS {p}_{e}" for p in quantiles.PROBABILITIES for e, x in (("low", 1), ("high", 2))]).drop("n").join(pts.groupBy(F.col("commune").alias("lieu")).agg(F.count(F.lit(1)).alias("n")), "lieu")
+    again = {r["lieu"]: (r["x_p10"], r["x_mediane"], r["x_p90"]) for r in quantiles.exact_percentiles(pts, wrong).collect()}
+    assert {g: pytest.approx(np.quantile(v, [0.1, 0.5, 0.9])) for g, v in groups.items()} == again
+
+
+def test_the_sketch_decides_what_it_can(spark):
+    v = [1000.0 + 7 * k for k in range(200)]
+    pts = spark.createDataFrame([(k, 1, None, c, "2020", "Maison", None, x) for c in "ABCD" for k, x in enumerate(v)], POINTS)
+    q = np.quantile(v, [0.1, 0.5, 0.9])
+    m = spark.createDataFrame([(1, c, "2020", "Maison", 1, 0.0, float(q[1] * off), float(q[0]), float(q[2])) for c, off in (("A", 1.0), ("B", 1.3), ("C", 1.0501), ("D", 0.7))] + [(1, "A", "2020", "Maison", 1, 0.0, None, None, None)], MARCHE)
+    judged = quantiles.judge_cells(pts, m, spark.createDataFrame([], IRIS))
+    assert rows(judged.select("lieu", "verdict")) == [("A", "right"), ("A", "right"), ("B", "wrong"), ("C", "open"), ("D", "wrong")]
