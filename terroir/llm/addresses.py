@@ -58,7 +58,7 @@ TITLE_OF = {a: t for t, short in TITLES.items() for a in (t, *short)}
 
 #: Parameters: bands and rows of the signature; edits a street name may differ by; greatest share of one slip among the writings of a name, and
 #: standard deviations by which its count may exceed that.
-BANDS, ROWS, EDITS, SLIP, SIGMAS = 40, 3, 3.0, 0.2, 1.64
+BANDS, ROWS, EDITS, SLIP, SIGMAS = 40, 3, 3.0, 0.2, 2.33
 
 
 def fold(text: str) -> str:
