@@ -69,6 +69,12 @@ def p4_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.fused_types(table(spark, sf_dir, "dvf_brut"), table(spark, sf_dir, "dvf_fichiers"))
 
 
+@query
+def p4_appearing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alternative types of a field, minorities too, that the file before in the flux did not hold."""
+    return drift.appearing(table(spark, sf_dir, "dvf_brut"), table(spark, sf_dir, "dvf_fichiers"))
+
+
 @query
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.found(*(table(spark, sf_dir, t) for t in ("dvf_geocoded", "dvf_iris", "iris_polygones")))

@@ -122,3 +122,73 @@ def test_table_keeps_what_cannot_be_converted(spark):
     assert [(r["prix_number"], r["prix_string"], r["prix_integer"], r["prix_boolean"], r["prix_object"], r["prix_array"]) for r in out] == [
         (1.5, None, None, None, None, None), (None, "sur demande", None, None, None, None), (None, None, 3, None, None, None), (None, None, None, True, None, None), (None, None, None, None, '{"x":1}', None), (None, None, None, None, None, "[2]")
     ]
+
+
+def few(i, **more):
+    return {"id": f"D{(i * 7919 + 13) % 10**7:07d}", "ville": f"960{i % 3:02d}", "prix": 1000.0 * (50 + i)} | more
+
+
+def test_small_files_are_judged_like_large_ones(spark):
+    """Ids never repeat, so they are compared by shape, in ten lines as in thousands."""
+    for n in (10, 38, 400):
+        first, second = ([json.dumps(few(i + k * n) if not k else {"ident" if f == "id" else f: v for f, v in few(i + k * n).items()}) for i in range(n)] for k in (0, 1))
+        assert rows(drift.changes(*build(spark, first, second))) == [(9, "renommage", "id", "ident")]
+
+
+def test_likeness_does_not_depend_on_size():
+    import random
+
+    rnd = random.Random(4)
+
+    def path(n, draw):
+        p = drift.Path()
+        for _ in range(n):
+            v = draw()
+            for kind, case in (("t", "string"), ("s", "A" if v < 0 else "9"), ("v", str(v))):
+                p.hist[kind][case] = p.hist[kind].get(case, 0) + 1
+        return p
+
+    few_kinds, others, ids = (lambda: rnd.randrange(5)), (lambda: 50 + rnd.randrange(5)), (lambda: rnd.randrange(10**9))
+    for n in (10, 40, 1000):
+        same = [drift.likeness(path(n, few_kinds), path(n, few_kinds)) for _ in range(50)]
+        assert sorted(same)[5] >= drift.SAME_CONTENT
+        assert max(drift.likeness(path(n, few_kinds), path(n, others)) for _ in range(50)) < drift.SAME_CONTENT
+        assert min(drift.likeness(path(n, ids), path(n, ids)) for _ in range(50)) == 1.0
+
+
+def test_shapes_are_those_of_whole_texts(spark):
+    long = lambda tail: (lambda i: {"id": f"{i}", "x" if tail else "y": " ".join(["lot 1"] * 40) + (f" {i}" if tail else "-A")})
+    assert rows(drift.changes(*build(spark, long(True), long(False)))) == [(9, "ajout", "y", ""), (9, "retrait", "x", "")]
+
+
+def test_the_order_of_month_and_day_is_told_by_the_file(spark):
+    us, eu = ["03/25/2020", "03/05/2020", "12/31/2021"], ["25/03/2020", "03/05/2020", "31/12/2021"]
+    lines, files = build(spark, *[[json.dumps({"date_mutation": d}) for d in day] for day in (us, eu, us[1:2])])
+    assert rows(drift.changes(lines, files)) == [(9, "format", "date_mutation", "")]
+    got = rows(drift.unified(lines, files).select("fichier_id", "ligne", "date_mutation"))
+    assert [(f, n, str(d)) for f, n, d in got] == [
+        (10, 0, "2020-03-25"), (10, 1, "2020-03-05"), (10, 2, "2021-12-31"), (8, 0, "2020-05-03"), (9, 0, "2020-03-25"), (9, 1, "2020-05-03"), (9, 2, "2021-12-31")
+    ]
+
+
+def test_alternatives_that_appear(spark):
+    versions = [lambda i: {"s": 1.5, "t": i}, lambda i: {"s": "x" if i == 7 else 1.5, "t": i}, lambda i: {"s": "x" if i % 2 else 1.5, "t": None if i else True}]
+    lines, files = build(spark, *versions)
+    assert rows(drift.appearing(lines, files)) == [(8, "t", "boolean", 1), (9, "s", "string", 1)]
+    union = drift.Union("a", "b", None, None)
+    assert union.alternatives == {} and union.dominant == (None, None)
+
+
+def test_a_name_that_changes_hands(spark):
+    """Two fields swap names in one file: each value stands under its own canonical name."""
+    first = lambda i: {"a": f"X{i:04d}", "b": bool(i % 2), "c": "k"}
+    lines, files = build(spark, first, lambda i: {"d": f"X{i + 60:04d}", "b": bool(i % 2), "c": "k"}, lambda i: {"d": f"X{i + 120:04d}", "a": bool(i % 2), "c": "k"})
+    out = drift.unified(lines, files, targets={}, branches=False)
+    got = {(r["fichier_id"], r["ligne"]): (r["a"], r["b"]) for r in out.collect()}
+    assert all(got[(10 - k, i)] == (f"X{i + 60 * k:04d}", str(bool(i % 2)).lower()) for k in range(3) for i in range(60))
+
+
+def test_a_line_delivered_in_two_versions(spark):
+    lines, files = build(spark, [json.dumps({"prix": 1.5})])
+    both = lines.union(lines).union(spark.createDataFrame([(10, 0, json.dumps({"prix": 2.5}))], LINES))
+    assert [r["prix"] for r in drift.unified(both, files, branches=False).collect()] == [2.5]
