@@ -6,11 +6,12 @@ document, so whole documents cannot be compared with items. Instead items are pa
 be found, and for each partition documents are read through a sliding window as long as the partition's shortest run: window and
 run are then of one size, and containment in the document becomes equality of sets of shingles in a window.
 A window is represented by the minima of ``HASHES`` hash functions over its shingles of five words; any leaked run
-contains a window whose minima equal those of a window of the item, so no leak is missed. What the signatures find is verified by exact
-containment of the run in the words of the document.
+contains a window whose minima equal those of a window of the item, so no leak is missed. What the signatures find is verified exactly: a
+run of the item's words must stand in the document, word for word.
 
 Scale: while items are of a checked size, their signatures travel with the task and the search is one map-only
-pass over whole texts. Beyond it, signatures of documents and items are joined by (partition, key) and only candidates are verified.
+pass over whole texts; what travels is linear in the words of the items. Beyond it, signatures of documents and items are joined by (partition, key), those of
+documents after a Bloom filter of the items' keys of a fixed size, hot keys split by count, and only candidates are verified.
 No document is ever compared with another.
 
 Defined results: null and empty texts and passages match nothing; a passage of n words needs ceil(n/2) of them, at least one; shorter
@@ -29,13 +30,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Parameters: words of a shingle, hash functions, ratio between the window lengths of partitions, bytes of items that may travel.
-SHINGLE, HASHES, RATIO, ITEM_BYTES = 5, 2, 1.3, 8 << 20
+from terroir.operators.joins import spread_join
+from terroir.session import cut_lineage
+
+#: Parameters: words of a shingle, hash functions, ratio between the window lengths of partitions, bytes of passages that may travel (about 20 bytes do for each);
+#: bits of the Bloom filter and of its hashes.
+SHINGLE, HASHES, RATIO, ITEM_BYTES, BLOOM_BITS, BLOOM_HASHES = 5, 2, 1.3, 4 << 20, 26, 4
 
 _ESCAPE = re.compile(r"\\+(?:u([0-9a-f]{4})|x([0-9a-f]{2})|([nrtfv\"'/]))")
 _ANSI = re.compile(r"\x1b\[[0-9;]*[a-z]")
-_INLINE = re.compile(r"</?(?:b|i|u|em|strong|span|code|a|mark|sub|sup|font|small|s|tt|del|ins)(?:\s[^<>]{0,300})?/?>")
-_TAG = re.compile(r"</?[a-z!][^<>]{0,300}>")
+#: What makes a tag of any length, as against a comparison in code: nothing after the name, an attribute with a value, or bare words after the name of an
+#: element that takes such attributes.
+_REST = r"(?:\s*/?|\s+[^\s<>=/]+\s*=[^<>]*)>"
+_INLINE = re.compile(r"</?(?:b|i|u|em|strong|span|code|a|mark|sub|sup|font|small|s|tt|del|ins)" + _REST)
+_TAG = re.compile(r"<(?:![^<>]*>|/?(?:input|option|select|button|textarea|script|video|audio|details|dialog|ol|td|th|table|img|iframe|form|link|a)\s[^<>]*>|/?[a-z][^\s<>/]*" + _REST + ")")
 _WORD = re.compile(r"[^\W_]+")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 
@@ -119,20 +127,26 @@ class Items:
         self.shortest = min(self.windows.values(), default=1)
         vocabulary = sorted({x for w in self.passages.values() for x in w})
         self.hash_of = dict(zip(vocabulary, (int(h) for h in word_hashes(vocabulary))))
-        self.keys: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-        for i, w in self.passages.items():
-            length = self.windows[self.run[i]]
-            for key in window_keys(np.array([self.hash_of[x] for x in w], dtype=np.uint64), length).tolist():
-                self.keys[length][key].add(i)
-        self.keys = {k: dict(v) for k, v in self.keys.items()}
-        self.known = {length: np.array(sorted(v), dtype=np.uint64) for length, v in self.keys.items()}
-        self.runs = {i: [f" {' '.join(w[s : s + self.run[i]])} " for s in range(len(w) - self.run[i] + 1)] for i, w in self.passages.items()}
-
-    def candidates(self, tokens: list[str]) -> set[int]:
-        """Items with a window whose signature is met in the document. A window with a word no item has cannot be
-        one, so only stretches of known words are hashed."""
+        self.hashed = {i: self._hashes(w) for i, w in self.passages.items()}
+        #: per window length the keys of all windows in order, and the item each is of
+        self.known: dict[int, np.ndarray] = {}
+        self.owner: dict[int, np.ndarray] = {}
+        by_length = defaultdict(list)
+        for i, h in self.hashed.items():
+            by_length[self.windows[self.run[i]]].append((i, np.unique(window_keys(h, self.windows[self.run[i]]))))
+        for length, found in by_length.items():
+            keys, own = np.concatenate([k for _, k in found]), np.repeat(np.array([i for i, _ in found], dtype=np.int64), [len(k) for _, k in found])
+            order = np.argsort(keys, kind="stable")
+            self.known[length], self.owner[length] = keys[order], own[order]
+
+    def _hashes(self, tokens: list[str]) -> np.ndarray:
+        """Hashes of the words; 0 of words no item has."""
         get = self.hash_of.get
-        h = np.fromiter((get(t, 0) for t in tokens), dtype=np.uint64, count=len(tokens))
+        return np.fromiter((get(t, 0) for t in tokens), dtype=np.uint64, count=len(tokens))
+
+    def candidates(self, h: np.ndarray) -> set[int]:
+        """Items with a window whose signature is met in the document. A window with a word no item has cannot be
+        one, so only stretches of known words are read."""
         edges = np.flatnonzero(np.diff(np.concatenate([[0], (h != 0).astype(np.int8), [0]])))
         out: set[int] = set()
         for start, end in zip(edges[::2], edges[1::2]):
@@ -140,14 +154,41 @@ class Items:
                 continue
             part = h[start:end]
             for length, known in self.known.items():
-                for key in np.intersect1d(window_keys(part, length), known).tolist():
-                    out |= self.keys[length][key]
+                met = np.unique(window_keys(part, length))
+                lo, hi = np.searchsorted(known, met, "left"), np.searchsorted(known, met, "right")
+                for x, y in zip(lo[hi > lo], hi[hi > lo]):
+                    out.update(self.owner[length][x:y].tolist())
         return out
 
-    def held(self, tokens: list[str], item: int) -> bool:
-        """Whether the words hold one of the item's runs, exactly."""
-        text = f" {' '.join(tokens)} "
-        return any(r in text for r in self.runs[item])
+    def search(self, tokens: list[str]) -> list[int]:
+        """The items of which the words hold a run."""
+        h = self._hashes(tokens)
+        return [i for i in sorted(self.candidates(h)) if holds(tokens, self.passages[i], self.run[i], h, self.hashed[i])]
+
+
+def run_keys(hashes: np.ndarray, length: int) -> np.ndarray:
+    """One hash per run of ``length`` words, in their order: pieces whose lengths are powers of two, put together."""
+    n = len(hashes) - length + 1
+    if n < 1:
+        return np.empty(0, dtype=np.uint64)
+    piece, size, at = _mix(hashes, 5), 1, 0
+    out = np.zeros(n, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        while True:
+            if length & size:
+                out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + piece[at : at + n], 11)
+                at += size
+            if at == length:
+                return out
+            piece = _mix(piece[: len(piece) - size] * np.uint64(0x9E3779B97F4A7C15) + piece[size:], 13)
+            size *= 2
+
+
+def holds(tokens: list[str], passage: list[str], run: int, h: np.ndarray | None = None, own: np.ndarray | None = None) -> bool:
+    """Whether a run of so many words of the passage stands in the words, exactly. Time and space are linear in both, but for a logarithm of the run."""
+    h, own = word_hashes(tokens) if h is None else h, word_hashes(passage) if own is None else own
+    _, here, there = np.intersect1d(run_keys(h, run), run_keys(own, run), return_indices=True)
+    return any(tokens[p : p + run] == passage[q : q + run] for p, q in zip(here.tolist(), there.tolist()))
 
 
 def found(documents: DataFrame, items: DataFrame, item_bytes: int = ITEM_BYTES) -> DataFrame:
@@ -166,7 +207,7 @@ def found(documents: DataFrame, items: DataFrame, item_bytes: int = ITEM_BYTES)
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
                 tokens = words(text)
                 if len(tokens) >= e.shortest:
-                    out += [(doc, i) for i in sorted(e.candidates(tokens)) if e.held(tokens, i)]
+                    out += [(doc, i) for i in e.search(tokens)]
             yield pd.DataFrame(out, columns=["doc_id", "item_id"])
 
     texts = documents.where(F.col("text").isNotNull() & (F.col("text") != "")).select("doc_id", "text")
@@ -194,25 +235,52 @@ def _found_by_join(documents: DataFrame, items: DataFrame) -> DataFrame:
                     rows += [(i, length, k) for k in np.unique(window_keys(word_hashes(w), length)).view(np.int64).tolist()]
             yield pd.DataFrame(rows, columns=["item_id", "length", "k"])
 
+    b = cut_lineage(items.mapInPandas(item_keys, "item_id long, length int, k long"))
+    bloom = items.sparkSession.sparkContext.broadcast(bloom_of(b))
+
     def doc_keys(batches):
         for pdf in batches:
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
                 h = word_hashes(words(text))
-                rows = [(doc, n, k) for n in lengths for k in np.unique(window_keys(h, n)).view(np.int64).tolist()]
+                rows = [(doc, n, k) for n in lengths for k in in_bloom(np.unique(window_keys(h, n)), bloom.value).view(np.int64).tolist()]
                 yield pd.DataFrame(rows, columns=["doc_id", "length", "k"])
 
     def verify(batches):
         for pdf in batches:
             keep = []
             for text, p in zip(pdf["text"], pdf["passage"]):
-                w, doc = words(p), f" {' '.join(words(text))} "
-                run = max(1, -(-len(w) // 2))
-                keep.append(any(f" {' '.join(w[s : s + run])} " in doc for s in range(len(w) - run + 1)))
+                w = words(p)
+                keep.append(holds(words(text), w, max(1, -(-len(w) // 2))))
             yield pdf[keep][["doc_id", "item_id"]]
 
     texts = documents.where(F.col("text").isNotNull() & (F.col("text") != "")).select("doc_id", "text")
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    a = texts.mapInPandas(doc_keys, f"doc_id {id_type}, length int, k long")
-    b = items.mapInPandas(item_keys, "item_id long, length int, k long")
-    pairs = a.join(b, ["length", "k"]).select("doc_id", "item_id").distinct()
+    a = cut_lineage(texts.mapInPandas(doc_keys, f"doc_id {id_type}, length int, k long"))
+    pairs = spread_join(a, b, ["length", "k"], ["doc_id"]).select("doc_id", "item_id").distinct()
     return pairs.join(items, "item_id").join(texts, "doc_id").mapInPandas(verify, f"doc_id {id_type}, item_id long").distinct()
+
+
+def _bloom_places(keys: np.ndarray, bits: int = BLOOM_BITS) -> list[np.ndarray]:
+    return [_mix(keys, 900 + j) >> np.uint64(64 - bits) for j in range(BLOOM_HASHES)]
+
+
+def bloom_of(keys: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
+    """A Bloom filter of column ``k``, as 64-bit words; its size is fixed, with more keys it only lets more pass."""
+
+    def places(batches):
+        for pdf in batches:
+            at = np.unique(np.concatenate(_bloom_places(pdf["k"].to_numpy(np.int64).view(np.uint64), bits))) if len(pdf) else np.empty(0, dtype=np.uint64)
+            yield pd.DataFrame({"word": (at >> np.uint64(6)).astype(np.int64), "bit": (np.uint64(1) << (at & np.uint64(63))).view(np.int64)})
+
+    words_ = keys.select("k").mapInPandas(places, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    out[words_["word"].to_numpy(np.int64)] = words_["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def in_bloom(keys: np.ndarray, bloom: np.ndarray) -> np.ndarray:
+    """The keys that may be in the filter."""
+    keep = np.ones(len(keys), dtype=bool)
+    for at in _bloom_places(keys, int(np.log2(len(bloom))) + 6):
+        keep &= (bloom[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return keys[keep]

@@ -10,7 +10,8 @@ so the work is linear in the piece. Ids equal those of exact merging.
 
 Decoding uses an offset table: the bytes of all tokens in one buffer, and an array of their borders.
 
-Scale: a map-only stage over Arrow batches; no shuffle, nothing collected. Whole texts are encoded.
+Scale: a map-only stage over Arrow batches; no shuffle, nothing collected. Whole texts are encoded. The vocabulary file is read where the plan is
+made and its bytes are broadcast (a fixed size, a few MB), so it need not lie on the executors.
 Piece ids are memoised per Python worker; the memo is emptied at MEMO entries, so memory is bounded.
 
 Defined results: null and empty texts give an empty list; names of special tokens are plain text;
@@ -19,9 +20,12 @@ lone surrogates cannot occur in Arrow strings. Extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
-from functools import lru_cache
+import zlib
+from collections.abc import Callable
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -58,11 +62,12 @@ def printable_bytes() -> dict[str, int]:
 class BacktrackingEncoder:
     """Exact byte-level BPE of one vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, source: str | bytes):
+        """source: the place of the vocabulary file, or its content."""
         import ahocorasick
         import regex
 
-        spec = json.load(open(path, encoding="utf-8"))
+        spec = json.loads(source if isinstance(source, bytes) else Path(source).read_bytes())
         names = printable_bytes()
         raw = lambda s: bytes(names[c] for c in s)
         special = {t["content"] for t in spec.get("added_tokens", ())}
@@ -182,19 +187,31 @@ class _Memo(dict):
         return ids
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> BacktrackingEncoder:
-    """One encoder per worker process and vocabulary."""
-    return BacktrackingEncoder(path)
+    """The encoder of a vocabulary file that can be read here."""
+    content = Path(path).read_bytes()
+    return shared_encoder(hashlib.sha256(content).hexdigest(), lambda: content)
+
+
+_ENCODERS: dict[str, BacktrackingEncoder] = {}
+
+
+def shared_encoder(digest: str, content: Callable[[], bytes]) -> BacktrackingEncoder:
+    """One encoder per worker process and content of a vocabulary."""
+    if digest not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[digest] = BacktrackingEncoder(content())
+    return _ENCODERS[digest]
 
 
 def encode_corpus(documents: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """id and ids (array<int>) of every row."""
-    place = path or vocabulary_path()
+    content = Path(path or vocabulary_path()).read_bytes()
+    digest, held = hashlib.sha256(content).hexdigest(), documents.sparkSession.sparkContext.broadcast(zlib.compress(content))
     id_type = documents.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        e = encoder(place)
+        e = shared_encoder(digest, lambda: zlib.decompress(held.value))
         for batch in batches:
             packed = [e.packed(text) for text in batch.column(1).to_pylist()]
             ends = np.cumsum([0] + [len(p) // 4 for p in packed], dtype=np.int32)

@@ -76,3 +76,47 @@ def test_windows_keep_every_run():
         keys = leakage.window_keys(h, length)
         assert len(keys) == 200 - length + 1 and all(leakage.window_keys(h[k : k + length], length)[0] == keys[k] for k in range(0, len(keys), 37))
     assert leakage.partitions_of([17, 18, 22, 23, 40]) == {17: 17, 18: 17, 22: 17, 23: 23, 40: 40}
+
+
+def test_a_tag_of_any_length_does_not_break_a_run():
+    w = leakage.words
+    image = f'<img src="data:image/png;base64,{"iVBORw0KGgo" * 1000}" alt="a plot">'
+    assert w(f"one two {image} three") == ["one", "two", "three"]
+    assert w(json_escaped := f"one two {image} three".replace('"', '\\"')) == ["one", "two", "three"] and len(json_escaped) > 10_000
+    assert w("one <a href='" + "x" * 5000 + "'>two</a> th<b>re</b>e <td nowrap>four <!-- " + "no " * 500 + "-->five<br/>six</p>") == ["one", "two", "three", "four", "five", "six"]
+    # a comparison in code is no tag, however far its other half is
+    assert w("if a <b and c> d") == ["if", "a", "b", "and", "c", "d"] and w("i<n; " + "word " * 200 + "> 3").count("word") == 200
+
+
+def test_a_very_long_passage(spark):
+    n = 60_000
+    passage = [f"v{(k * 7919) % n}" for k in range(n)]
+    docs = [(1, " ".join(passage[10_000:40_000])), (2, " ".join(passage[10_000:39_999])), (3, "x " + " ".join(passage) + " y")]
+    held = leakage.Items([(1, " ".join(passage))])
+    stored = sum(a.nbytes for x in (held.known, held.owner, held.hashed) for a in x.values())
+    assert stored < 30 * n  # linear in its words
+    assert rows(leakage.found(*frames(spark, docs, [(9, " ".join(passage))]))) == [(1, 9), (3, 9)]
+
+
+def test_runs_are_found_exactly():
+    import numpy as np
+
+    r = random.Random(2)
+    for _ in range(200):
+        a, b = ([r.choice("abc") for _ in range(r.randint(0, 30))] for _ in range(2))
+        for n in (1, 2, 3, 5, 8, 13):
+            want = any(a[i : i + n] == b[j : j + n] for i in range(len(a) - n + 1) for j in range(len(b) - n + 1))
+            assert leakage.holds(a, b, n) == want
+    h = np.random.default_rng(1).integers(1, 2**60, 90, dtype=np.uint64)
+    for n in (1, 6, 7, 64, 90, 91):
+        assert len(np.unique(leakage.run_keys(h, n))) == max(0, 90 - n + 1)
+
+
+def test_bloom_filter(spark):
+    import numpy as np
+
+    keys = np.random.default_rng(3).integers(-(2**62), 2**62, 5000)
+    bloom = leakage.bloom_of(spark.createDataFrame([(int(k),) for k in keys[:2500]], "k long"), bits=18)
+    got = leakage.in_bloom(keys.view(np.uint64), bloom).view(np.int64)
+    assert set(keys[:2500].tolist()) <= set(got.tolist()) and len(got) < 2600
+    assert len(leakage.in_bloom(keys.view(np.uint64), leakage.bloom_of(spark.createDataFrame([], "k long"), bits=18))) == 0

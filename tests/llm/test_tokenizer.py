@@ -45,3 +45,15 @@ def test_corpus(spark, sf_dir, exact):
     texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
     ids = {r["doc_id"]: r["ids"] for r in tokenizer.encode_corpus(docs).collect()}
     assert ids == {k: exact.encode_ordinary(t) if t else [] for k, t in texts.items()}
+
+
+def test_the_file_is_read_where_the_plan_is_made(spark, tmp_path):
+    """Executors get the content: the file may be gone when they run."""
+    from pathlib import Path
+    from shutil import copyfile
+
+    copyfile(tokenizer.vocabulary_path(), tmp_path / "v.json")
+    plan = tokenizer.encode_corpus(spark.createDataFrame([(1, "Un texte."), (2, None), (3, "")], "doc_id long, text string"), str(tmp_path / "v.json"))
+    Path(tmp_path / "v.json").unlink()
+    e = tokenizer.encoder(tokenizer.vocabulary_path())
+    assert {r["doc_id"]: r["ids"] for r in plan.collect()} == {1: e.encode("Un texte."), 2: [], 3: []}
