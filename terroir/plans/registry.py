@@ -248,18 +248,7 @@ def fn_f23_class_edges(spark, d):
 
 @query
 def fn_f24_extent(spark, d):
-    return extents(table(spark, d, "iris_polygones"))
-
-
-def extents(polygons: DataFrame) -> DataFrame:
-    """code_iris, ouest, sud, est, nord, and the centre, of each polygon."""
-    rings = F.from_json("geometry", "struct<coordinates:array<array<array<double>>>>")["coordinates"]
-    many = F.flatten(F.from_json("geometry", "struct<coordinates:array<array<array<array<double>>>>>")["coordinates"])
-    flat = F.flatten(F.when(F.get_json_object("geometry", "$.type") == "Polygon", rings).otherwise(many))
-    each = polygons.select("code_iris", F.explode(flat).alias("p"))
-    x, y = F.col("p")[0], F.col("p")[1]
-    box = each.groupBy("code_iris").agg(F.min(x).alias("ouest"), F.min(y).alias("sud"), F.max(x).alias("est"), F.max(y).alias("nord"))
-    return box.withColumns({"lon": (F.col("ouest") + F.col("est")) / 2, "lat": (F.col("sud") + F.col("nord")) / 2})
+    return spatial.extents(table(spark, d, "iris_polygones"))
 
 
 # --- joins and linkage ---
@@ -290,9 +279,7 @@ def join_j4_without_town(spark, d):
 @query
 def join_j5_region(spark, d):
     """Every geocoded lot with the polygon that holds it, and how it was placed."""
-    r = spatial.attach_region(table(spark, d, "dvf_geocoded").select("lot_id", "lat", "lon").distinct(), table(spark, d, "iris_polygones"))
-    state = F.when(F.col("lat").isNull() | F.col("lon").isNull(), "non_geocodee").when(F.col("region").isNull(), "hors_perimetre_iris").otherwise("rattachee")
-    return stats.count_by(r.withColumn("etat", state), "etat")
+    return spatial.placement(table(spark, d, "dvf_geocoded").select("lot_id", "lat", "lon").distinct(), table(spark, d, "iris_polygones"))
 
 
 @query
@@ -457,9 +444,8 @@ def agg_a21_colour_range(spark, d):
 
 @query
 def agg_a22_centre(spark, d):
-    box = extents(table(spark, d, "iris_polygones")).where(F.col("code_iris").startswith("96"))
-    one = box.agg(F.min("ouest").alias("o"), F.max("est").alias("e"), F.min("sud").alias("s"), F.max("nord").alias("n"))
-    return one.select(F.round((F.col("s") + F.col("n")) / 2, 6).alias("lat"), F.round((F.col("o") + F.col("e")) / 2, 6).alias("lon"))
+    c = spatial.centre(table(spark, d, "iris_polygones"), prefix="96")
+    return c.select(F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
 @query

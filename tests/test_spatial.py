@@ -89,3 +89,73 @@ def test_found_with_clashing_columns(spark):
     i = spark.createDataFrame([(1, 0.5, 0.5, "B", "x"), (2, 0.5, 0.5, "A", "x"), (3, 9.0, 9.0, None, "x"), (4, 9.0, 9.0, "A", "x"), (5, None, 9.0, "A", "x"), (6, 999.0, 9.0, "A", "x"), (7, 999.0, 9.0, None, "x")], POINTS + ", code_iris string, region string")
     got = rows(spatial.found(g, i, spark.createDataFrame(shapes(), POLYGONS)))
     assert got == [("region", 1, 0, "A"), ("region", 4, 0, ""), ("region", 6, 0, ""), ("voisin", 1, 2, "")]
+
+
+def disc(x, y, r, n):
+    a = np.linspace(0, 2 * np.pi, n, endpoint=False)
+    ring = np.column_stack([x + r * np.cos(a), y + r * np.sin(a)]).tolist()
+    return [ring + ring[:1]]
+
+
+def brute_first(rings, lat, lon):
+    """Even-odd rule edge by edge."""
+    out = np.full(len(lat), -1)
+    for k in reversed(range(len(rings))):
+        odd = np.zeros(len(lat), dtype=bool)
+        for ring in rings[k]:
+            for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+                if y1 != y2:
+                    odd ^= ((y1 <= lat) != (y2 <= lat)) & (lon > x1 + (lat - y1) * (x2 - x1) / (y2 - y1))
+        out[odd] = k
+    return out
+
+
+def test_the_sweep_equals_brute_force():
+    r = np.random.default_rng(7)
+    rings = [disc(x, y, r.uniform(0.3, 0.9), int(r.integers(3, 40))) + disc(x, y, 0.1, 7) for x in range(6) for y in range(6)]
+    lat, lon = r.uniform(-1, 6, 3000), r.uniform(-1, 6, 3000)
+    assert (spatial.Sweep(rings).first(lat, lon) == brute_first(rings, lat, lon)).all()
+
+
+def test_cost_grows_with_edges_and_points_not_their_product():
+    import time
+
+    def cost(side):
+        r = np.random.default_rng(1)
+        rings = [disc(x, y, 0.49, 64) for x in range(side) for y in range(side)]
+        lat, lon = r.uniform(0, side, 20_000), r.uniform(0, side, 20_000)
+        began = time.perf_counter()
+        hit = spatial.Sweep(rings).first(lat, lon)
+        return time.perf_counter() - began, sum(p.edges.shape[0] for p in spatial.Sweep(rings).polygons), hit
+
+    small, large = cost(9), cost(100)  # 81 and 10,000 polygons
+    assert large[1] == 65 * 10_000 and (large[2] >= 0).mean() > 0.6
+    assert large[0] < 125 * small[0] + 5  # 123 times the edges; the same points
+
+
+def test_a_hot_tile_and_a_hot_coordinate(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "POLYGON_BYTES", 0)
+    monkeypatch.setattr(spatial._attach_by_tile, "__defaults__", (3,))
+    r = random.Random(5)
+    pts = [(k, r.random(), r.random() * 2) for k in range(200)] + [(k, 0.5, 0.5) for k in range(500, 900)]
+    got = {x["lot_id"]: x["region"] for x in spatial.attach_region(spark.createDataFrame(pts, POINTS), spark.createDataFrame(shapes(), POLYGONS)).collect()}
+    assert got == {k: "A" if lon <= 1 else "B" for k, lat, lon in pts}
+
+
+def test_the_sample_shapes_as_many_parts_as_needed(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "PART", 40)
+    seen = []
+    real = spatial.Splits
+    monkeypatch.setattr(spatial, "Splits", lambda *a: seen.append(real(*a)) or seen[-1])
+    points = cloud(2000, 11, spread=0.02)
+    assert rows(spatial.neighbours(spark.createDataFrame(points, POINTS), "lot_id", 15.0)) == brute(points, 15.0)
+    assert seen[0].parts == 50
+
+
+def test_extents_and_centre(spark):
+    pol = spark.createDataFrame(shapes(), POLYGONS)
+    got = {r["code_iris"]: tuple(r)[1:] for r in spatial.extents(pol).collect()}
+    assert got == {"A": (0.0, 0.0, 1.0, 1.0, 0.5, 0.5), "B": (1.0, 0.0, 2.0, 1.0, 1.5, 0.5), "H": (4.0, 0.0, 5.0, 1.0, 4.5, 0.5), "M": (8.0, 0.0, 11.0, 1.0, 9.5, 0.5)}
+    assert tuple(spatial.centre(pol).first()) == (0.5, 5.5) and tuple(spatial.centre(pol, prefix="q").first()) == (None, None)
+    pts = spark.createDataFrame([(1, 0.5, 0.5), (2, 50.0, 0.5), (3, None, 1.0)], POINTS)
+    assert rows(spatial.placement(pts, pol)) == [("hors_perimetre_iris", 1), ("non_geocodee", 1), ("rattachee", 1)]
