@@ -144,12 +144,16 @@ def test_a_hot_tile_and_a_hot_coordinate(spark, monkeypatch):
 
 def test_the_sample_shapes_as_many_parts_as_needed(spark, monkeypatch):
     monkeypatch.setattr(spatial, "PART", 40)
-    seen = []
-    real = spatial.Splits
-    monkeypatch.setattr(spatial, "Splits", lambda *a: seen.append(real(*a)) or seen[-1])
+    seen, real = [], spatial.Splits.__init__
+
+    def init(self, *a):
+        real(self, *a)
+        seen.append(self.parts)
+
+    monkeypatch.setattr(spatial.Splits, "__init__", init)
     points = cloud(2000, 11, spread=0.02)
     assert rows(spatial.neighbours(spark.createDataFrame(points, POINTS), "lot_id", 15.0)) == brute(points, 15.0)
-    assert seen[0].parts == 50
+    assert seen == [50]
 
 
 def test_extents_and_centre(spark):
