@@ -107,9 +107,9 @@ def sale_year(c: Column) -> Column:
     return F.nullif(F.substring(c, 1, 4), F.lit(""))
 
 
-def signed_percent(c: Column) -> Column:
-    """+3.1 % or, with the true minus sign, −3.1 %."""
-    return F.concat(F.when(c >= 0, "+").otherwise("−"), F.format_string("%.1f", F.abs(c)), F.lit(" %"))
+def signed_percent(c: Column, digits: int = 1) -> Column:
+    """+3.1 % or, with the true minus sign, −3.1 %; null of null."""
+    return F.when(c.isNotNull(), F.concat(F.when(c >= 0, "+").otherwise("−"), F.format_string(f"%.{digits}f", F.abs(c)), F.lit(" %")))
 
 
 def window_label(years: Column, start: Column, oldest: Column) -> Column:

@@ -59,8 +59,9 @@ def date_class(c: Column, cutoff: str = REFORM) -> Column:
     return F.when(F.coalesce(c, F.lit("")) == "", "missing_date").when(shaped.isNull(), "invalid_date").when(c >= cutoff, "post_reform").otherwise("pre_reform")
 
 
-def clean_certificates(raw: DataFrame, cutoff: str = REFORM, raw_address: str = "adresse_brut", postcode: str = "code_postal_ban", town: str = "nom_commune_ban") -> DataFrame:
-    """Certificates with their normalised address, geocoding query and ``classe`` of date; all rows stay, marked."""
+def clean_certificates(raw: DataFrame, cutoff: str = REFORM, raw_address: str = "adresse_brut", postcode: str = "code_postal_brut", town: str = "nom_commune_brut") -> DataFrame:
+    """Certificates with their normalised address, geocoding query and ``classe`` of date; all rows stay, marked. The query is made of the fields as
+    declared, never of those an earlier geocoding gave: it is what is to be geocoded."""
     return raw.withColumns(
         {
             "adresse_normalisee": normalize_address(F.col(raw_address)),

@@ -21,10 +21,13 @@ from pyspark.sql import functions as F
 
 from terroir.constants import CERTAIN, REFORM, STATUSES, SURFACE_TOLERANCE
 from terroir.functions.geo import DISTANCE_THRESHOLD_M, METRES_PER_DEGREE, box_half_widths, cell, haversine_m
+from terroir.operators.joins import spread_join
 
 PROFILE = ("code", "adresse", "lat", "lon", "surface", "kind")
 #: What the distance pass depends on.
 PLACE = ("code", "lat", "lon", "surface", "kind")
+#: Degrees of latitude from which on cells are not told apart by longitude.
+POLAR = 89.0
 CARRIED = ("etiquette_dpe", "etiquette_ges", "type_batiment", "periode_construction")
 
 
@@ -52,7 +55,7 @@ def _certificates(certs: DataFrame) -> DataFrame:
 def exact_candidates(prof: DataFrame, certs: DataFrame) -> DataFrame:
     """Profiles with the certificates of their town at the same, non-empty address; ``poids`` is 1."""
     met = prof.where(F.col("adresse") != "").join(certs.withColumnRenamed("adresse_c", "adresse"), ["code", "adresse"])
-    return met.select(*PROFILE, "numero_dpe", "surface_c", *CARRIED, F.lit("texte_exact").alias("passe"), F.lit(1).cast("long").alias("poids"))
+    return met.select(*PROFILE, "numero_dpe", "surface_c", *CARRIED, "lat_c", "lon_c", F.col("adresse").alias("adresse_c"), F.lit("texte_exact").alias("passe"), F.lit(1).cast("long").alias("poids"))
 
 
 def classes(certs: DataFrame) -> DataFrame:
@@ -63,14 +66,21 @@ def classes(certs: DataFrame) -> DataFrame:
 
 def near_candidates(prof: DataFrame, certs: DataFrame, metres: float = DISTANCE_THRESHOLD_M, keys: tuple[str, ...] = PROFILE) -> DataFrame:
     """Profiles (or their distinct ``keys``) with the certificates, or classes of them, of their town inside the box and within the distance."""
+    # beyond POLAR degrees a box would span ever more cells of longitude: there all of them are one
     h_lat, h_lon = box_half_widths(F.col("lat"), metres)
+    pole = F.lit(-(2**62)).cast("long")
     across = lambda c, h: F.sequence(cell(c - h, metres), cell(c + h, metres))
     placed = prof.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    probe = placed.withColumn("ci", F.explode(across(F.col("lat"), h_lat))).withColumn("cj", F.explode(across(F.col("lon"), h_lon)))
-    held = certs.where(F.col("lat_c").isNotNull() & F.col("lon_c").isNotNull()).withColumns({"ci": cell(F.col("lat_c"), metres), "cj": cell(F.col("lon_c"), metres)})
+    low, high = (F.abs("lat") - h_lat <= POLAR, F.abs("lat") + h_lat >= POLAR)
+    none = F.array().cast("array<bigint>")
+    columns = F.concat(F.when(low, across(F.col("lon"), F.least(h_lon, F.lit(360.0)))).otherwise(none), F.when(high, F.array(pole)).otherwise(none))
+    probe = placed.withColumn("ci", F.explode(across(F.col("lat"), h_lat))).withColumn("cj", F.explode(columns))
+    own = F.when(F.abs("lat_c") > POLAR, pole).otherwise(cell(F.col("lon_c"), metres))
+    held = certs.where(F.col("lat_c").isNotNull() & F.col("lon_c").isNotNull()).withColumns({"ci": cell(F.col("lat_c"), metres), "cj": own})
     inside = (F.abs(F.col("lat_c") - F.col("lat")) <= h_lat) & (F.abs(F.col("lon_c") - F.col("lon")) <= h_lon) & (haversine_m(F.col("lat"), F.col("lon"), F.col("lat_c"), F.col("lon_c")) <= metres)
     weight = F.col("poids") if "poids" in certs.columns else F.lit(1).cast("long").alias("poids")
-    return probe.join(held, ["code", "ci", "cj"]).where(inside).select(*keys, "numero_dpe", "surface_c", *CARRIED, F.lit("distance").alias("passe"), weight)
+    address = [c for c in ("adresse_c",) if c in certs.columns]
+    return probe.join(held, ["code", "ci", "cj"]).where(inside).select(*keys, "numero_dpe", "surface_c", *CARRIED, "lat_c", "lon_c", *address, F.lit("distance").alias("passe"), weight)
 
 
 def without_exact(prof: DataFrame, certs: DataFrame) -> DataFrame:
@@ -178,6 +188,6 @@ def calibration_pairs(lots: DataFrame, certs: DataFrame) -> DataFrame:
     limited to one town."""
     a = lots.where(F.col("lat").isNotNull() & F.col("lon").isNotNull() & (F.col("adresse_normalisee") != "")).select(F.col("adresse_normalisee").alias("adresse"), "lat", "lon").distinct()
     b = certs.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(F.col("adresse_normalisee").alias("adresse"), F.col("lat").alias("lat_c"), F.col("lon").alias("lon_c")).distinct()
-    return a.join(b, "adresse").select("adresse", "lat", "lon", "lat_c", "lon_c", haversine_m(F.col("lat"), F.col("lon"), F.col("lat_c"), F.col("lon_c")).alias("distance_m"))
+    return spread_join(a, b, ["adresse"], ["lat", "lon"], hot=5_000).select("adresse", "lat", "lon", "lat_c", "lon_c", haversine_m(F.col("lat"), F.col("lon"), F.col("lat_c"), F.col("lon_c")).alias("distance_m"))
 
 

@@ -63,13 +63,22 @@ def best_candidates(answers: DataFrame, case: Sequence[str]) -> DataFrame:
     return ranked.where(F.col("_r") == 1).select(*case, "pos", "score", (F.col("score") - F.coalesce("_next", F.lit(0.0))).alias("marge"), "confiance")
 
 
-def decide(best: DataFrame, guard: str = "garde", score_min: float = SCORE_MIN, margin_min: float = MARGIN_MIN, confidence_min: float = CONFIDENCE_MIN) -> DataFrame:
-    """The best answers with ``motif`` and ``resolu``: thresholds in the order score, margin, confidence; then the guard may cancel."""
+#: Fixed value: the state of a case the scorer resolved.
+RESOLVED = "resolu_jev"
+
+
+def decide(best: DataFrame, guard: str = "garde", score_min: float = SCORE_MIN, margin_min: float = MARGIN_MIN, confidence_min: float = CONFIDENCE_MIN, entry: str | None = None, carried: Sequence[str] = ()) -> DataFrame:
+    """The best answers with ``motif`` and ``resolu``: thresholds in the order score, margin, confidence; then the guard may cancel.
+
+    entry: column of the state a case came with; it gives ``match_status``, which is that state again unless the case is resolved. carried: columns of the
+    chosen candidate that only a resolved case keeps."""
     motif = (
         F.when(F.col("pos").isNull(), "pool_vide").when(F.col("score") < score_min, "score_insuffisant").when(F.col("marge") < margin_min, "marge_insuffisante")
         .when(F.col("confiance") < confidence_min, "confiance_insuffisante").when(F.coalesce(~F.col(guard), F.lit(False)), "garde_noul").otherwise("resolu")
     )
-    return best.withColumn("motif", motif).withColumn("resolu", F.col("motif") == "resolu")
+    out = best.withColumn("motif", motif).withColumn("resolu", F.col("motif") == "resolu")
+    out = out.withColumns({c: F.when(F.col("resolu"), F.col(c)) for c in carried}) if carried else out
+    return out if entry is None else out.withColumn("match_status", F.when(F.col("resolu"), RESOLVED).otherwise(F.col(entry)))
 
 
 def sample(cases: DataFrame, key: str, k: int) -> DataFrame:
@@ -89,15 +98,35 @@ def unanswered(cases: DataFrame, cache: DataFrame, key: str = "cle") -> DataFram
     return cases.join(cache.select(key).distinct(), key, "left_anti")
 
 
-def judge(cases: DataFrame, cache: DataFrame, ask: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None, schema: str, key: str = "cle") -> DataFrame:
-    """Cached verdicts and, for the other cases, what ``ask`` gives for batches of them (schema: key first); without ``ask``
-    they keep null verdicts. ``source``: cache, demande or sans_cle."""
-    known = cases.join(cache, key).withColumn("source", F.lit("cache"))
-    open_ = unanswered(cases, cache, key)
+def judge(cases: DataFrame, cache: DataFrame, ask: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None, schema: str, key: str = "cle", size: str | None = None) -> DataFrame:
+    """Every case with its verdict and ``source``: cache; demande, what ``ask`` gives for batches of the other cases (schema: key first); sans_reponse, asked
+    without an answer; sans_cle, not asked as there is no ``ask``; pool_vide, without candidates and so never asked nor
+    looked up (``size`` names the column that counts them). Only the first two have a verdict."""
+    full = cases if size is None else cases.where(F.coalesce(size, F.lit(0)) > 0)
+    known = full.join(cache, key).withColumn("source", F.lit("cache"))
+    open_ = unanswered(full, cache, key)
     if ask is None:
-        return known.unionByName(open_.withColumn("source", F.lit("sans_cle")), allowMissingColumns=True)
-    asked = open_.mapInPandas(ask, schema)
-    return known.unionByName(open_.join(asked, key).withColumn("source", F.lit("demande")), allowMissingColumns=True)
+        rest = open_.withColumn("source", F.lit("sans_cle"))
+    else:
+        asked = open_.mapInPandas(ask, schema).withColumn("source", F.lit("demande"))
+        rest = open_.join(asked, key, "left").withColumn("source", F.coalesce("source", F.lit("sans_reponse")))
+    out = known.unionByName(rest, allowMissingColumns=True)
+    if size is None:
+        return out
+    return out.unionByName(cases.where(F.coalesce(size, F.lit(0)) <= 0).withColumn("source", F.lit("pool_vide")), allowMissingColumns=True)
+
+
+def run_totals(judged: DataFrame, tokens: str = "input_tokens", millis: str = "duree_ms") -> DataFrame:
+    """One row: cas, appels, servis_par_cache, input_tokens, duree_s; tokens and time are those of the calls made, not of cached verdicts."""
+    asked = F.col("source") == "demande"
+    total = lambda c: F.coalesce(F.sum(F.when(asked, F.col(c))), F.lit(0))
+    return judged.agg(F.count(F.lit(1)).alias("cas"), F.count_if(asked).alias("appels"), F.count_if(F.col("source") == "cache").alias("servis_par_cache"), total(tokens).alias("input_tokens"), (total(millis) / 1000).alias("duree_s"))
+
+
+def run_counts(judged: DataFrame, status: str = "match_status", reason: str = "motif") -> DataFrame:
+    """genre (status or motif), valeur, n of a run."""
+    of = lambda genre, c: judged.groupBy(F.col(c).alias("valeur")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(genre).alias("genre"), "valeur", "n")
+    return of("status", status).unionByName(of("motif", reason))
 
 
 def normalize_response(raw: Column) -> Column:
@@ -107,6 +136,19 @@ def normalize_response(raw: Column) -> Column:
     return F.coalesce(nested, F.from_json(raw, shape))
 
 
+def read_response(raw: Column, expected_model: str | None = None) -> Column:
+    """A response as (reponses: ref -> score, confidence, noul; modele; input_tokens). Answers of an unknown type are left out; without usage there are 0
+    tokens. A model other than the expected one is an error: its verdict would be kept under a key that names the other."""
+    model = F.coalesce(F.get_json_object(raw, "$.model"), F.lit(""))
+    answers = F.from_json(F.get_json_object(raw, "$.answers"), "map<string,struct<type:string,score:double,confidence:double,noul:boolean>>")
+    kept = F.map_filter(F.coalesce(answers, F.create_map().cast("map<string,struct<type:string,score:double,confidence:double,noul:boolean>>")), lambda _, a: a["type"].isin("score", "noul"))
+    plain = F.transform_values(kept, lambda _, a: F.struct(a["score"].alias("score"), a["confidence"].alias("confidence"), a["noul"].alias("noul")))
+    out = F.struct(plain.alias("reponses"), model.alias("modele"), F.coalesce(F.get_json_object(raw, "$.usage.input_tokens").try_cast("long"), F.lit(0)).alias("input_tokens"))
+    if expected_model is None:
+        return out
+    return F.when(model == expected_model, out).otherwise(F.raise_error(F.concat(F.lit("answered by model '"), model, F.lit(f"', not by '{expected_model}'"))))
+
+
 def evaluate(decided: DataFrame, answer: str = "reponse", chosen: str = "numero_dpe") -> DataFrame:
     """Decided cases with correct_top1 and correct_a_seuil."""
     right = F.coalesce(F.col(chosen) == F.col(answer), F.lit(False))

@@ -1,13 +1,14 @@
 """Group statistics, distributions and histograms.
 
-Counts, sums and means combine map-side. Exact medians per group cannot: Spark keeps a count per distinct value, so they
-are meant for values of bounded variety per group; for billions of distinct values there are mergeable sketches. Percentiles of a whole column are
+Counts, sums and means combine map-side. For exact medians Spark keeps a count per distinct value of a group in one task: ``aggregate_by`` is meant for many
+groups, ``aggregate_few`` for few and large ones, of which it tells apart only the values around the median. Percentiles of a whole column are
 read off a distributed sort.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,12 +17,47 @@ from pyspark.sql import functions as F
 from terroir.session import cut_lineage
 
 
+#: Parameter: groups whose classes may travel with the tasks.
+FEW_GROUPS = 10_000
+
+
 def aggregate_by(rows: DataFrame, keys: Sequence[str], value: str = "prix_m2") -> DataFrame:
     """keys, n, moyenne, mediane. Null values do not count; a group without values has no row; a null key is a group."""
     kept = rows.where(F.col(value).isNotNull())
     return kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("moyenne"), F.median(value).alias("mediane"))
 
 
+def _class_of(v: Column, bits: int) -> Column:
+    """Classes in the order of the values, even on a logarithmic scale on both sides of zero; infinities apart."""
+    scaled = F.floor(F.signum(v) * F.log1p(F.abs(v)) * ((1 << bits) / 1024.0)).cast("double")
+    return F.when(F.abs(v) == float("inf"), F.signum(v) * F.lit(1e18)).otherwise(scaled)
+
+
+def aggregate_few(rows: DataFrame, keys: Sequence[str], value: str = "prix_m2", bits: int = 18) -> DataFrame:
+    """The same as ``aggregate_by`` where a group may hold any share of the rows: values are counted by class first, map-side, and only those of the classes that
+    hold the middle ranks are told apart. NaN values count as greatest, as in ``F.median``."""
+    kept = cut_lineage(rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")))
+    classed = kept.withColumn("_g", F.when(F.isnan("_v"), F.lit(2e18)).otherwise(_class_of(F.col("_v"), bits)))
+    sums = classed.groupBy(*keys, "_g").agg(F.count(F.lit(1)).alias("_c"), F.sum("_v").alias("_s"))
+    group, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_g")
+    placed = sums.withColumns({"_n": F.sum("_c").over(group), "_upto": F.sum("_c").over(order)})
+    middle = lambda n, upto, c: [(r < upto) & (r >= upto - c) for r in (F.floor((n - 1) / 2), F.ceil((n - 1) / 2))]
+    lo, hi = middle(F.col("_n"), F.col("_upto"), F.col("_c"))
+    whole = placed.groupBy(*keys).agg(F.sum("_c").alias("n"), (F.sum("_s") / F.sum("_c")).alias("moyenne"), F.min(F.when(lo, F.col("_g"))).alias("_lo"), F.max(F.when(hi, F.col("_g"))).alias("_hi"), F.max(F.when(lo, F.col("_upto") - F.col("_c"))).alias("_before"))
+    whole = cut_lineage(whole)
+    few = whole.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("n").alias("_n"), "_lo", "_hi", "_before")
+    few = F.broadcast(few) if few.count() <= FEW_GROUPS else few
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    near = classed.join(few, same).where(F.col("_g").between(F.col("_lo"), F.col("_hi"))).groupBy(*keys, "_n", "_before", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    near = near.withColumn("_upto", F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v")))
+    a, b = middle(F.col("_n"), F.col("_upto"), F.col("_c"))
+    median = near.groupBy(*keys).agg(((F.max(F.when(a, F.col("_v"))) + F.max(F.when(b, F.col("_v")))) / 2).alias("mediane"))
+    out = whole.select(*keys, "n", "moyenne").alias("l").join(median.alias("r"), reduce(lambda x, y: x & y, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]))
+    return out.select(*[F.col(f"l.{k}").alias(k) for k in keys], "n", "moyenne", "mediane")
+
+
 def ordered(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """By the keys, nulls last."""
     return rows.orderBy(*[F.col(k).asc_nulls_last() for k in keys])
@@ -32,6 +68,17 @@ def count_by(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
+def most_frequent(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, n by descending n, ties by the keys."""
+    return count_by(rows, *keys).orderBy(F.col("n").desc(), *[F.col(k).asc_nulls_last() for k in keys])
+
+
+def sorted_table(rows: DataFrame, key: str, descending: bool = False, then: Sequence[str] = ()) -> DataFrame:
+    """By one column in either direction, nulls last in both; ties by other columns."""
+    first = F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_last()
+    return rows.orderBy(first, *[F.col(c).asc_nulls_last() for c in then])
+
+
 def span(rows: DataFrame, value: str) -> DataFrame:
     """One row: n, debut, fin."""
     return rows.agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("debut"), F.max(value).alias("fin"))

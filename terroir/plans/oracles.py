@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from terroir.constants import CONFIDENCE_EDGES, DISTANCE_EDGES, MARGIN_EDGES
 from terroir.functions.text import ABBREVIATIONS
+from terroir.plans.case_oracles import FAR, case_sql
 
 _HOME = "coalesce(type_local IN ('Appartement', 'Maison'), false)"
 _KEYS = "date_mutation, code_insee, no_disposition, prix"
@@ -139,7 +140,7 @@ def _accuracy(value: str, edges) -> str:
 
 _EVALUATED = f"""{_LINK},
     mk AS (SELECT j.*, o.numero_dpe AS reponse, CASE WHEN j.m = 1 THEN 'isole' ELSE 'multi' END AS regime FROM j JOIN o ON {_on('j', 'o')} WHERE o.match_status = 'trouve' AND j.garde),
-    tp AS (SELECT *, row_number() OVER (PARTITION BY code, adresse, lat, lon, surface, kind ORDER BY abs(surface - surface_c) NULLS LAST, numero_dpe NULLS FIRST, etiquette_dpe NULLS FIRST, surface_c NULLS FIRST) - 1 AS pos FROM mk),
+    tp AS (SELECT *, row_number() OVER (PARTITION BY code, adresse, lat, lon, surface, kind ORDER BY {FAR.format(_hav('lat', 'lon', 'lat_c', 'lon_c'))}) - 1 AS pos FROM mk),
     an AS (SELECT *, ('0x' || substr(md5(numero_dpe), 1, 4))::INT % 201 / 100.0::DOUBLE AS score, ('0x' || substr(md5(numero_dpe), 1, 4))::INT % 101 / 100.0::DOUBLE AS confiance FROM tp WHERE pos < 8),
     rk AS (SELECT *, row_number() OVER w AS r, score - coalesce(lead(score) OVER w, 0.0) AS marge FROM an WINDOW w AS (PARTITION BY code, adresse, lat, lon, surface, kind ORDER BY score DESC, pos)),
     ev AS (SELECT *, motif = 'resolu' AS resolu, coalesce(numero_dpe = reponse, false) AS correct_top1 FROM (SELECT *, CASE WHEN score < 1.5 THEN 'score_insuffisant' WHEN marge < 0.5 THEN 'marge_insuffisante' WHEN confiance < 0.5 THEN 'confiance_insuffisante'
@@ -173,11 +174,13 @@ def all_sql() -> dict[str, str]:
             ELSE to_json({'type': 'MultiPolygon', 'coordinates': list_transform(from_json(json_extract(geometry, '$.coordinates'), '[[[["DOUBLE"]]]]'), lambda g: list_transform(g, lambda r: list_transform(r, lambda p: list_transform(p, lambda x: round(x, 5)))))})::VARCHAR END AS geometry FROM iris_polygones""",
         "filter_p1_perimeter": "SELECT lot_id, code_insee FROM dvf_clean WHERE code_insee IN ('96007', '00356', '00017')",
         "filter_p3_row_class": "SELECT CASE WHEN coalesce(prix, 0) = 0 THEN 'excluded_zero_price' WHEN coalesce(surface, 0) = 0 THEN 'excluded_zero_surface' ELSE 'kept' END AS classe, count(*) AS n FROM dvf_clean GROUP BY 1",
-        "filter_p4_clean_lots": f"""SELECT DISTINCT lot_id, prix::DECIMAL(18,2)::DOUBLE AS prix, surface::DECIMAL(18,1)::DOUBLE AS surface, trim(coalesce(adresse_brute, '')) AS adresse_brute, {_normal("trim(coalesce(adresse_brute, ''))")} AS adresse_normalisee,
-            CASE WHEN coalesce(prix, 0) = 0 THEN 'excluded_zero_price' WHEN coalesce(surface, 0) = 0 THEN 'excluded_zero_surface' ELSE 'kept' END AS classe FROM dvf_clean""",
+        "filter_p4_clean_lots": f"""WITH r AS (SELECT *, regexp_extract(adresse_brute, '^ *([0-9]+)?( *(?:BIS|TER) )? *([A-Za-z]+)?(.*)$', ['a', 'b', 'c', 'd']) AS x FROM dvf_clean),
+            a AS (SELECT *, coalesce(concat_ws(' ', {', '.join(f"nullif(trim(x.{k}), '')" for k in 'abcd')}), '') AS whole FROM r)
+            SELECT DISTINCT lot_id, prix::DECIMAL(18,2)::DOUBLE AS prix, surface::DECIMAL(18,1)::DOUBLE AS surface, whole AS adresse_brute, {_normal('whole')} AS adresse_normalisee,
+            CASE WHEN coalesce(prix, 0) = 0 THEN 'excluded_zero_price' WHEN coalesce(surface, 0) = 0 THEN 'excluded_zero_surface' ELSE 'kept' END AS classe FROM a""",
         "filter_p5_date_class": """SELECT CASE WHEN coalesce(date_etablissement_dpe, '') = '' THEN 'missing_date' WHEN NOT regexp_full_match(date_etablissement_dpe, '\\d{4}-\\d{2}-\\d{2}') OR try_cast(date_etablissement_dpe AS DATE) IS NULL THEN 'invalid_date'
             WHEN date_etablissement_dpe >= '2021-07-01' THEN 'post_reform' ELSE 'pre_reform' END AS classe, count(*) AS n FROM dpe_clean GROUP BY 1""",
-        "filter_p6_clean_certificates": f"""SELECT DISTINCT numero_dpe, {_normal('adresse_brut')} AS adresse_normalisee, {_query_text('adresse_brut', 'code_postal_ban', 'nom_commune_ban', False)} AS adresse_geocodage,
+        "filter_p6_clean_certificates": f"""SELECT DISTINCT numero_dpe, {_normal('adresse_brut')} AS adresse_normalisee, {_query_text('adresse_brut', 'reverse(code_postal_ban)', 'upper(nom_commune_ban)', False)} AS adresse_geocodage,
             CASE WHEN coalesce(date_etablissement_dpe, '') = '' THEN 'missing_date' WHEN NOT regexp_full_match(date_etablissement_dpe, '\\d{{4}}-\\d{{2}}-\\d{{2}}') OR try_cast(date_etablissement_dpe AS DATE) IS NULL THEN 'invalid_date'
             WHEN date_etablissement_dpe >= '2021-07-01' THEN 'post_reform' ELSE 'pre_reform' END AS classe FROM dpe_clean""",
         "filter_p8_market": "SELECT * FROM agg_marche WHERE type_local = 'Maison' AND annee BETWEEN '2019' AND '2022'",
@@ -193,8 +196,6 @@ def all_sql() -> dict[str, str]:
         "fn_f7_label_group": f"SELECT etiquette_dpe, {_GROUP} AS groupe, count(*) AS n FROM dvf_dpe_matched GROUP BY ALL",
         "fn_f8_registry_town": "SELECT DISTINCT nom_commune_ban, replace(upper(strip_accents(nom_commune_ban)), '''', ' ') AS nom FROM dpe_clean",
         "fn_f9_haversine": f"SELECT DISTINCT lot_id, round({_hav('lat', 'lon', '42.0', '-30.5')}, 3) AS m FROM dvf_geocoded",
-        "fn_f13_pool_fingerprint": """SELECT code_insee_ban, sha256(to_json(list(s ORDER BY s))) AS empreinte FROM (SELECT code_insee_ban, {'i': trim(coalesce(numero_dpe, '')), 'a': trim(coalesce(adresse_brut, ''))} AS s
-            FROM (SELECT DISTINCT code_insee_ban, numero_dpe, adresse_brut FROM dpe_clean)) GROUP BY 1""",
         "fn_f14_cache_key": "SELECT match_id, sha256(to_json({'p0': coalesce(code_insee, '∅'), 'p1': coalesce(no_disposition, '∅'), 'p2': coalesce(date_mutation, '∅'), 'p3': coalesce(trim(adresse_brute), '∅'), 'p4': 'v1'})) AS cle FROM dvf_dpe_matched",
         "fn_f23_class_edges": "WITH v AS (SELECT list(mediane ORDER BY mediane) AS l FROM agg_iris WHERE mediane IS NOT NULL) SELECT list_sort(list_distinct(list_transform(range(1, 7), lambda i: l[(i * len(l) // 7) + 1]))) AS bornes FROM v",
         "fn_f24_extent": f"WITH {_BOX} SELECT *, (ouest + est) / 2 AS lon, (sud + nord) / 2 AS lat FROM box",
@@ -246,8 +247,6 @@ def all_sql() -> dict[str, str]:
         "agg_a25_readd": f"{i}, {_IRIS_YEAR} SELECT code_iris, type_local, sum(n)::BIGINT AS n, round(sum(moyenne * n) / sum(n), 4) AS moyenne FROM iy WHERE annee BETWEEN '2018' AND '2022' GROUP BY 1, 2",
         "agg_a25_readd_counts": f"{m}, {_COUNTS} SELECT commune, sum(retenues)::BIGINT AS retenues, sum(resolu_consensus)::BIGINT AS resolu_consensus, sum(pre_reforme_exclus)::BIGINT AS pre_reforme_exclus FROM counts WHERE type_local IS NULL AND groupe IS NULL AND annee BETWEEN '2021' AND '2024' GROUP BY 1",
         "sort_o2_series": "SELECT * FROM agg_marche WHERE commune = 'Vaumirac' AND type_local = 'Maison' ORDER BY annee, edition",
-        "sort_o4_top_candidates": f"""WITH {_LINK}, u AS (SELECT j.* FROM j JOIN o ON {_on('j', 'o')} WHERE o.match_status = 'ambigu' AND j.retenu),
-            r AS (SELECT *, row_number() OVER (PARTITION BY code, adresse, lat, lon, surface, kind ORDER BY abs(surface - surface_c) NULLS LAST, numero_dpe NULLS FIRST, etiquette_dpe NULLS FIRST) - 1 AS pos FROM u) SELECT code, adresse, lat, lon, surface, kind, pos, numero_dpe FROM r WHERE pos < 3""",
         "sort_o5_sample": "SELECT match_id, sha256(match_id::VARCHAR) AS cle FROM dvf_dpe_matched ORDER BY cle LIMIT 50",
         "sort_o6_stratified": "SELECT match_id, match_status, cle FROM (SELECT *, row_number() OVER (PARTITION BY match_status ORDER BY cle) AS r FROM (SELECT match_id, match_status, sha256(match_id::VARCHAR) AS cle FROM dvf_dpe_matched)) WHERE r <= 20",
         "sort_o7_years": "SELECT min(annee) AS premiere, max(annee) AS derniere FROM agg_marche",
@@ -270,10 +269,10 @@ def all_sql() -> dict[str, str]:
             r AS (SELECT commune, type_local, pm2 AS ref FROM a WHERE etiquette_dpe = 'D')
             SELECT a.commune, a.type_local, a.etiquette_dpe, a.n, round(a.pm2, 4) AS pm2_moyen, round(CASE WHEN ref <> 0 THEN (pm2 - ref) / ref * 100 END, 4) AS ecart_pct FROM a LEFT JOIN r ON a.commune IS NOT DISTINCT FROM r.commune AND a.type_local IS NOT DISTINCT FROM r.type_local""",
         "cube_m13_series": f"{m}, {_CUBE} SELECT * FROM cube WHERE commune = 'Vaumirac' AND annee_min = '2021' AND annee_max = '2023'",
-        "score_d4_decisions": f"WITH {_EVALUATED} SELECT code, adresse, numero_dpe, round(score, 4) AS score, round(marge, 4) AS marge, round(confiance, 4) AS confiance, motif, correct_top1 FROM ev",
+        "score_d4_decisions": f"WITH {_EVALUATED} SELECT code, adresse, numero_dpe, round(score, 4) AS score, round(marge, 4) AS marge, round(confiance, 4) AS confiance, motif, correct_top1, CASE WHEN resolu THEN 'resolu_jev' ELSE 'ambigu' END AS match_status FROM ev",
         "score_a19_accuracy": f"WITH {_EVALUATED} {_accuracy('confiance', CONFIDENCE_EDGES)}",
         "score_a19_margins": f"WITH {_EVALUATED} {_accuracy('marge', MARGIN_EDGES)}",
         "score_a20_summary": f"""WITH {_EVALUATED} SELECT d.regime, count(ev.regime) AS n, round(coalesce(count(*) FILTER (correct_top1) / nullif(count(ev.regime), 0), 0.0), 4) AS exactitude_top1, count(*) FILTER (resolu) AS resolus,
             round(coalesce(count(*) FILTER (resolu AND correct_top1) / nullif(count(*) FILTER (resolu), 0), 0.0), 4) AS exactitude_a_seuil, round(1 - count(*) FILTER (resolu AND correct_top1) / nullif(count(*) FILTER (resolu), 0), 4) AS taux_erreur_residuel
             FROM (VALUES ('isole'), ('multi')) d(regime) LEFT JOIN ev ON ev.regime = d.regime GROUP BY 1""",
-    }
+    } | case_sql(_LINK, _on('j', 'o'), _hav('lat', 'lon', 'lat_c', 'lon_c'), _EVALUATED, _BOX, m, i, f, _COUNTS, _IN, _STAT)

@@ -11,7 +11,7 @@ from terroir.constants import CONFIDENCE_EDGES, DISTANCE_EDGES, MARGIN_EDGES
 from terroir.functions import text
 from terroir.functions.geo import haversine_m
 from terroir.operators import clean, drift, filters, fold, geocode, linkage, scoring, spatial, stats
-from terroir.plans import marts, oracles
+from terroir.plans import cases, marts, oracles
 from terroir.session import table
 from terroir.sources import files, sinks
 
@@ -138,10 +138,11 @@ def filter_p3_row_class(spark, d):
 
 @query
 def filter_p4_clean_lots(spark, d):
-    """Raw delivery lines, unified over all files, through the cleaning of prices, areas and addresses."""
+    """Lots as a raw vintage writes them (decimal commas; number, repetition, way type and street apart) through the cleaning of prices, areas and addresses."""
+    part = lambda k: F.regexp_extract("adresse_brute", r"^ *([0-9]+)?( *(?:BIS|TER) )? *([A-Za-z]+)?(.*)$", k)
     raw = table(spark, d, "dvf_clean").select(
         "lot_id", F.regexp_replace(F.col("prix").cast("decimal(18,2)").cast("string"), r"\.", ",").alias("valeur_fonciere"), F.col("surface").cast("decimal(18,1)").cast("string").alias("surface_reelle_bati"),
-        F.lit(" ").alias("no_voie"), F.lit(None).cast("string").alias("btq"), F.lit("").alias("type_voie"), F.col("adresse_brute").alias("voie"),
+        part(1).alias("no_voie"), part(2).alias("btq"), part(3).alias("type_voie"), part(4).alias("voie"),
     )
     return clean.clean_lots(raw).select("lot_id", "prix", "surface", "adresse_brute", "adresse_normalisee", "classe").distinct()
 
@@ -154,7 +155,9 @@ def filter_p5_date_class(spark, d):
 
 @query
 def filter_p6_clean_certificates(spark, d):
-    return clean.clean_certificates(table(spark, d, "dpe_clean")).select("numero_dpe", "adresse_normalisee", "adresse_geocodage", "classe").distinct()
+    """The tables hold no postcode and town as declared; made up here from the others, so that a query made of those would show."""
+    declared = {"code_postal_brut": F.reverse("code_postal_ban"), "nom_commune_brut": F.concat(F.lit(" "), F.upper("nom_commune_ban"), F.lit(" "))}
+    return clean.clean_certificates(table(spark, d, "dpe_clean").withColumns(declared)).select("numero_dpe", "adresse_normalisee", "adresse_geocodage", "classe").distinct()
 
 
 @query
@@ -230,11 +233,6 @@ def fn_f9_haversine(spark, d):
     return table(spark, d, "dvf_geocoded").select("lot_id", F.round(haversine_m(F.col("lat"), F.col("lon"), F.lit(42.0), F.lit(-30.5)), 3).alias("m")).distinct()
 
 
-@query
-def fn_f13_pool_fingerprint(spark, d):
-    return scoring.pool_fingerprint(table(spark, d, "dpe_clean").select("code_insee_ban", "numero_dpe", "adresse_brut").distinct(), ["code_insee_ban"])
-
-
 @query
 def fn_f14_cache_key(spark, d):
     key = scoring.cache_key(F.col("code_insee"), F.col("no_disposition"), F.col("date_mutation"), F.trim("adresse_brute"), F.lit("v1"))
@@ -464,14 +462,6 @@ def sort_o2_series(spark, d):
     return stats.ordered(filters.filter_market(table(spark, d, "agg_marche"), commune="Vaumirac", type_local="Maison"), ["annee", "edition"])
 
 
-@query
-def sort_o4_top_candidates(spark, d):
-    """The eight nearest certificates of each undecided profile: here those at the same address."""
-    pool = linkage.undecided_pools(table(spark, d, "dvf_geocoded"), table(spark, d, "dpe_clean"))
-    top = scoring.top_candidates(pool, linkage.PROFILE, F.abs(F.col("surface") - F.col("surface_c")), ["numero_dpe", "etiquette_dpe"], 3)
-    return top.select("code", "adresse", "lat", "lon", "surface", "kind", F.col("pos").cast("long").alias("pos"), "numero_dpe")
-
-
 @query
 def sort_o5_sample(spark, d):
     return scoring.sample(_linked(spark, d).select("match_id", F.sha2(F.col("match_id").cast("string"), 256).alias("cle")), "cle", 50)
@@ -550,44 +540,28 @@ def cube_m13_series(spark, d):
 # --- scoring ---
 
 
-def _answers(spark: SparkSession, d: str) -> DataFrame:
-    """Masked pools with the answers of a deterministic stand-in for the scorer."""
-    pools = linkage.masked_pools(table(spark, d, "dvf_geocoded"), table(spark, d, "dpe_clean"))
-    top = scoring.top_candidates(pools, linkage.PROFILE, F.abs(F.col("surface") - F.col("surface_c")), ["numero_dpe", "etiquette_dpe", "surface_c"])
-    h = F.conv(F.substring(F.md5("numero_dpe"), 1, 4), 16, 10).cast("int")
-    return top.withColumns({"score": (h % 201) / 100.0, "confidence": (h % 101) / 100.0})
-
-
-def _decided(spark: SparkSession, d: str) -> DataFrame:
-    a = _answers(spark, d)
-    best = scoring.best_candidates(a, linkage.PROFILE)
-    rows = linkage._rejoin(a.select(*linkage.PROFILE, F.col("pos").alias("p"), "numero_dpe", "reponse", "regime"), best, "inner").where(F.col("l.p") == F.col("r.pos"))
-    flat = rows.select(*[F.col(f"l.{c}") for c in linkage.PROFILE], "numero_dpe", "reponse", "regime", "pos", "score", "marge", "confiance")
-    return scoring.evaluate(scoring.decide(flat.withColumn("garde", F.col("numero_dpe").rlike("[0-8].$"))))
-
-
 @query
 def score_d4_decisions(spark, d):
-    return _rounded(_decided(spark, d).select("code", "adresse", "numero_dpe", "score", "marge", "confiance", "motif", "correct_top1"))
+    return _rounded(cases.decided(spark, d).select("code", "adresse", "numero_dpe", "score", "marge", "confiance", "motif", "correct_top1", "match_status"))
 
 
 @query
 def score_a19_accuracy(spark, d):
-    return _rounded(stats.accuracy_by(_decided(spark, d), "confiance", "correct_top1", CONFIDENCE_EDGES))
+    return _rounded(stats.accuracy_by(cases.decided(spark, d), "confiance", "correct_top1", CONFIDENCE_EDGES))
 
 
 @query
 def score_a19_margins(spark, d):
-    return _rounded(stats.accuracy_by(_decided(spark, d), "marge", "correct_top1", MARGIN_EDGES))
+    return _rounded(stats.accuracy_by(cases.decided(spark, d), "marge", "correct_top1", MARGIN_EDGES))
 
 
 @query
 def score_a20_summary(spark, d):
-    return _rounded(scoring.summarize(_decided(spark, d)))
+    return _rounded(scoring.summarize(cases.decided(spark, d)))
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | cases.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import zipfile
 from collections.abc import Iterable, Mapping, Sequence
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terroir.functions.text import resource_year
+from terroir.sources import places
 
 #: Columns of a raw vintage that later steps read, and those that tell one from an error page.
 REQUIRED = (
@@ -62,7 +62,8 @@ def read_vintage(spark: SparkSession, path: str, codes: Sequence[str] | None = N
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """One object per line by a declared schema; blank lines are skipped, keys not declared are not read."""
-    return spark.read.schema(schema).json(path).where(" OR ".join(f"`{c}` IS NOT NULL" for c in T._parse_datatype_string(schema).names) if isinstance(schema, str) else F.lit(True))
+    names = (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).names
+    return spark.read.schema(schema).json(path).where(" OR ".join(f"`{c}` IS NOT NULL" for c in names))
 
 
 def unzip_single(path: str, folder: str) -> str:
@@ -80,6 +81,15 @@ def list_vintages(catalog: DataFrame, wanted: str = "txt.zip") -> DataFrame:
     return catalog.where((F.col("format") == wanted) & year.isNotNull() & (F.coalesce("url", F.lit("")) != "")).select(year.alias("year"), "url", "title").orderBy("year", "title")
 
 
+#: The last edition of the historical mirror that holds a vintage, and the extension of its files.
+EDITIONS = {2016: ("202110", "txt"), 2017: ("202204", "txt"), 2018: ("202304", "txt"), 2019: ("202404", "txt"), 2020: ("202504", "txt.zip")}
+
+
+def historical_years(editions: Mapping[int, tuple[str, str]] = EDITIONS) -> tuple[int, ...]:
+    """The vintages the mirror holds, in order."""
+    return tuple(sorted(editions))
+
+
 def vintage_url(year: int, editions: Mapping[int, tuple[str, str]], base: str) -> str:
     """Place of a vintage in a mirror whose editions each hold some years; an unknown year raises."""
     if year not in editions:
@@ -102,4 +112,4 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
 
 def resolve_sources(live: Mapping[str, str], snapshot: Mapping[str, str]) -> dict[str, str]:
     """The live files if every one exists, else all of the snapshot: never a mixture."""
-    return dict(live) if all(Path(p).exists() for p in live.values()) else dict(snapshot)
+    return dict(live) if all(places.exists(p) for p in live.values()) else dict(snapshot)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import shutil
 from collections.abc import Callable, Mapping, Sequence
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terroir.sources import places
+
 #: The columns published of the linked lots; decimals of a cube's figures.
 PUBLISHED = ("commune", "code_insee", "no_disposition", "nature_mutation", "date_mutation", "type_local", "surface", "prix", "match_status", "etiquette_dpe")
 DECIMALS = {"moyenne": 1, "mediane": 1, "somme": 1, "pct": 2}
@@ -43,18 +43,13 @@ def publish(tables: Mapping[str, DataFrame], linked: DataFrame, folder: str, cop
     for name, df in [*tables.items(), ("dvf_dpe_matched", in_total_order(linked))]:
         place = f"{folder}/{name}.parquet"
         df.write.mode("overwrite").parquet(place)
-        out.append({"name": name, "rows": df.sparkSession.read.parquet(place).count(), "bytes": _bytes(place)})
+        out.append({"name": name, "rows": df.sparkSession.read.parquet(place).count(), "bytes": places.size(place)})
     for name, source in (copies or {}).items():
-        shutil.copyfile(source, Path(folder, name))
-        out.append({"name": name, "rows": None, "bytes": Path(folder, name).stat().st_size})
+        places.copy(source, f"{folder}/{name}")
+        out.append({"name": name, "rows": None, "bytes": places.size(f"{folder}/{name}")})
     return out
 
 
-def _bytes(path: str) -> int:
-    p = Path(path)
-    return sum(f.stat().st_size for f in p.rglob("*.parquet")) if p.is_dir() else p.stat().st_size
-
-
 def cube_lines(df: DataFrame, decimals: Mapping[str, int] = DECIMALS, other: int = 4) -> DataFrame:
     """One column ``value``: each row as JSON with sorted keys, figures rounded by name, nulls kept."""
     rounded = [(F.round(f.name, decimals.get(f.name, other)) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)).alias(f.name) for f in sorted(df.schema.fields, key=lambda f: f.name)]
@@ -88,37 +83,32 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 
 def replace_atomically(df: DataFrame, path: str, key: str) -> None:
-    """A cache rewritten as a whole, by key: first beside its place, then moved there, so a reader sees the old or the new one."""
+    """A cache rewritten as a whole, by key: first beside its place, then moved there. The version before stays as ``<path>.old`` until the next time, where
+    ``load_cache`` finds it should it look between the two moves, so a reader sees the old or the new one."""
     new, old = f"{path}.new", f"{path}.old"
     df.orderBy(key).write.mode("overwrite").parquet(new)
-    fs_path = df.sparkSession._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
-    if fs.exists(fs_path(path)):
-        fs.delete(fs_path(old), True)
-        fs.rename(fs_path(path), fs_path(old))
-    fs.rename(fs_path(new), fs_path(path))
-    fs.delete(fs_path(old), True)
+    if places.exists(path):
+        places.remove(old)
+        places.move(path, old)
+    places.move(new, path)
 
 
 def load_cache(spark, path: str, schema: str) -> DataFrame:
-    """A cache table; an absent or empty place is an empty cache."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(p) or fs.getContentSummary(p).getLength() == 0:
+    """A cache table; an absent or empty place is an empty cache. While it is being replaced the version before is read."""
+    place = next((p for p in (path, f"{path}.old") if places.exists(p, spark)), None)
+    if place is None or places.size(place, spark) == 0:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(place)
 
 
 def stage(spark, path: str, build: Callable[[], DataFrame], force: bool = False) -> DataFrame:
     """The table at the path; built and written only if it is not there yet with rows in it (or ``force``)."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = fs.exists(p) and (fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")) or fs.getFileStatus(p).isFile())
-    if force or not done:
+    written = places.exists(f"{path}/_SUCCESS", spark) or (places.exists(path, spark) and path.endswith(".parquet") and places.size(path, spark) > 0)
+    if force or not written or spark.read.parquet(path).isEmpty():
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
 def vintage_missing(folder: str, year: int) -> bool:
     """Whether a vintage's partition has yet to be fetched."""
-    return not Path(folder, f"year={year}").exists()
+    return not places.exists(f"{folder}/year={year}")

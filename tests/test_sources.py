@@ -154,3 +154,33 @@ def test_required_columns(spark):
     with pytest.raises(ValueError):
         files.require_columns(spark.range(1), ["id", "x"])
     assert files.require_columns(spark.range(1).withColumn("x", F.lit(1)), ["x"]).count() == 1
+
+
+def test_a_cache_is_never_seen_missing(spark, tmp_path):
+    path, schema = str(tmp_path / "cache"), "cle string, v int"
+    frame = lambda v: spark.createDataFrame([("a", v)], schema)
+    sinks.replace_atomically(frame(1), path, "cle")
+    sinks.replace_atomically(frame(2), path, "cle")
+    assert [r["v"] for r in sinks.load_cache(spark, path, schema).collect()] == [2]
+    (tmp_path / "cache").rename(tmp_path / "elsewhere")  # as between the two moves
+    assert [r["v"] for r in sinks.load_cache(spark, path, schema).collect()] == [1]
+
+
+def test_a_stage_without_rows_is_built_again(spark, tmp_path):
+    path, made = str(tmp_path / "stage"), []
+
+    def build(rows_):
+        made.append(len(rows_))
+        return spark.createDataFrame(rows_, "v int")
+
+    for rows_ in ([], [(1,)], [(2,)]):
+        sinks.stage(spark, path, lambda rows_=rows_: build(rows_))
+    assert made == [0, 1]
+
+
+def test_blank_lines_under_either_kind_of_schema(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    (tmp_path / "l.json").write_text('{"a": 1}\n\n{"b": 2}\n  \n{"a": null, "b": 3}\n')
+    for schema in ("a int, b int", T.StructType().add("a", T.IntegerType()).add("b", T.IntegerType())):
+        assert files.read_json_lines(spark, str(tmp_path / "l.json"), schema).count() == 3

@@ -149,3 +149,74 @@ def test_responses_of_two_shapes(spark):
 def test_summary(spark):
     df = spark.createDataFrame([("isole", True, True, True), ("isole", False, False, False)], "regime string, correct_top1 boolean, resolu boolean, correct_a_seuil boolean")
     assert rows(scoring.summarize(df)) == [("isole", 2, 0.5, 1, 1.0, 0.0), ("multi", 0, 0.0, 0, 0.0, None)]
+
+
+def test_few_groups_have_the_same_figures(spark):
+    r = random.Random(3)
+    data = [(r.choice(["a", "b", None]), r.lognormvariate(8, 1) * r.choice([1, 1, 1, -1, 0])) for _ in range(4000)] + [("one", 5.0), ("two", 1.0), ("two", 4.0), ("none", None), ("nan", float("nan")), ("nan", 1.0), ("nan", 2.0), ("inf", float("inf")), ("inf", 3.0), ("inf", 2.0)]
+    df = spark.createDataFrame(data, "k string, prix_m2 double").repartition(7)
+    close = lambda rows_: sorted(str((k, n, round(m, 6), round(x, 9))) for k, n, m, x in rows_)
+    assert close(stats.aggregate_few(df, ["k"]).collect()) == close(stats.aggregate_by(df, ["k"]).collect())
+    assert stats.aggregate_few(df.limit(0), ["k"]).count() == 0
+
+
+def test_sorting_with_nulls_last_both_ways(spark):
+    df = spark.createDataFrame([("a", 1), ("b", None), ("c", 2), ("d", 2)], "k string, v int")
+    assert [r["k"] for r in stats.sorted_table(df, "v", False, ["k"]).collect()] == ["a", "c", "d", "b"]
+    assert [r["k"] for r in stats.sorted_table(df, "v", True, ["k"]).collect()] == ["c", "d", "a", "b"]
+    assert [tuple(r) for r in stats.most_frequent(spark.createDataFrame([("x",), ("y",), ("y",), (None,)], "k string"), "k").collect()] == [("y", 2), ("x", 1), (None, 1)]
+
+
+def test_no_case_is_lost(spark):
+    cases = spark.createDataFrame([("k1", 1, 2), ("k2", 2, 1), ("k3", 3, 1), (None, 4, 0), ("k1", 5, 3)], "cle string, cas int, taille int")
+    cache = spark.createDataFrame([("k1", 1.5)], "cle string, score double")
+
+    def ask(batches):  # answers some, and is never asked about empty pools
+        for b in batches:
+            assert b["cle"].notna().all()
+            yield pd.DataFrame({"cle": [c for c in b["cle"] if c != "k3"], "score": [0.5 for c in b["cle"] if c != "k3"]})
+
+    got = rows(scoring.judge(cases, cache, ask, "cle string, score double", size="taille").select("cas", "score", "source"))
+    assert got == [(1, 1.5, "cache"), (2, 0.5, "demande"), (3, None, "sans_reponse"), (4, None, "pool_vide"), (5, 1.5, "cache")]
+
+
+def test_run_totals(spark):
+    df = spark.createDataFrame([("cache", "x", "r", 100, 100), ("demande", "x", "r", 7, 250), ("demande", "y", "s", None, 250), ("pool_vide", "y", "pool_vide", None, None)], "source string, match_status string, motif string, input_tokens int, duree_ms int")
+    assert tuple(scoring.run_totals(df).first()) == (4, 2, 1, 7, 0.5)
+    assert rows(scoring.run_counts(df)) == [("motif", "pool_vide", 1), ("motif", "r", 2), ("motif", "s", 1), ("status", "x", 2), ("status", "y", 2)]
+    assert tuple(scoring.run_totals(df.limit(0)).first()) == (0, 0, 0, 0, 0.0)
+
+
+def test_responses_name_their_model(spark):
+    raw = '{"model": "m1", "answers": {"c0": {"type": "score", "score": 0.0, "confidence": 0.5}, "garde": {"type": "noul", "noul": false}, "x": {"type": "other"}}, "usage": {"input_tokens": 12}}'
+    df = frame(spark, [raw, "{}"], "v string")
+    r = df.select(scoring.read_response(F.col("v")).alias("r")).collect()[0]["r"]
+    assert r["modele"] == "m1" and r["input_tokens"] == 12 and set(r["reponses"]) == {"c0", "garde"} and r["reponses"]["c0"]["score"] == 0.0 and r["reponses"]["garde"]["noul"] is False
+    assert df.select(scoring.read_response(F.col("v")).alias("r")).collect()[1]["r"]["input_tokens"] == 0
+    with pytest.raises(Exception, match="answered by model"):
+        df.select(scoring.read_response(F.col("v"), "m2")).collect()
+
+
+def test_a_decision_keeps_the_state_of_entry(spark):
+    best = spark.createDataFrame([(1, 0, 2.0, 1.0, 0.9, "A", "ambigu"), (2, 0, 1.0, 1.0, 0.9, "B", "non_trouve"), (3, None, None, None, None, None, "ambigu")], "cas int, pos int, score double, marge double, confiance double, numero_dpe string, entree string")
+    got = rows(scoring.decide(best.withColumn("garde", F.lit(True)), entry="entree", carried=["numero_dpe"]).select("cas", "motif", "match_status", "numero_dpe"))
+    assert got == [(1, "resolu", "resolu_jev", "A"), (2, "score_insuffisant", "non_trouve", None), (3, "pool_vide", "ambigu", None)]
+
+
+def test_geocoding_query_of_a_certificate(spark):
+    df = spark.createDataFrame([("27 Allée Docteur  Robert Lafon", "64100", "BAYONNE ", "x", "y"), ("  ", "64100", "BAYONNE", "x", "y"), (None, "64100", "BAYONNE", "x", "y"), ("1 rue", None, None, "x", "y")], "adresse_brut string, code_postal_brut string, nom_commune_brut string, code_postal_ban string, nom_commune_ban string")
+    got = [r["adresse_geocodage"] for r in clean.clean_certificates(df.withColumn("date_etablissement_dpe", F.lit("2022-01-01"))).collect()]
+    assert got == ["27 Allée Docteur Robert Lafon 64100 BAYONNE", None, None, "1 rue"]
+
+
+def test_report_parts(spark):
+    m = spark.createDataFrame([("V", y, "Maison", 10 + k, 1000.0 + 100 * k, 1.0) for k, y in enumerate(["2016", "2020", "2024", "2025"])] + [("V", "2025", "Appartement", 3, 5.0, 1.0), ("W", "2025", "Maison", 1, 1.0, 1.0)], "commune string, annee string, type_local string, n int, moyenne double, mediane double")
+    linked = spark.createDataFrame([(1, "2022-01-01", "C", "1", 100_000.0, "Vente", "V", "Maison", 50.0, "trouve", "D"), (2, "2022-01-02", "C", "1", 120_000.0, "Vente", "V", "Maison", 50.0, "trouve", "F"), (3, "2022-01-03", "C", "1", 120_000.0, "Vente", "V", "Maison", 50.0, "ambigu", None)], "match_id long, date_mutation string, code_insee string, no_disposition string, prix double, nature_mutation string, commune string, type_local string, surface double, match_status string, etiquette_dpe string")
+    parts = marts.report(m, linked, ["V"])
+    assert rows(parts["communes.evolutions"].where("type_local = 'Maison'").select("fenetre_ans", "libelle", "variation_txt")) == [(1, "1 an", "+8.3 %"), (5, "5 ans", "+18.2 %"), (9, "depuis 2016", "+30.0 %")]
+    assert parts["communes.evolutions"].where("type_local = 'Appartement' AND raison IS NOT NULL").count() == 2
+    assert tuple(parts["appariement.taux"].first()) == (3, 2, pytest.approx(200 / 3)) and tuple(parts["meta"].first()) == ("2016", "2025")
+    d = parts["dpe"].first()
+    assert d["pm2"] == [0, 0, 0, 2000, 0, 2400, 0] and d["n"] == [0, 0, 0, 1, 0, 1, 0] and d["ecarts"] == ["F : +20 % (au-dessus, n=1)"]
+    s = parts["communes.series"].where("type_local = 'Maison'").first()
+    assert (s["annee_debut"], s["n_debut"], s["n_fin"], len(s["points"])) == ("2016", 10, 13, 4)
