@@ -18,6 +18,7 @@ ABBREVIATIONS = {
 LABEL_GROUPS = {"A": "A-C", "B": "A-C", "C": "A-C", "D": "D", "E": "E", "F": "F-G", "G": "F-G"}
 
 _SPACES = r"(?U)\s+"
+_MARK = "\u0001"
 
 
 @lru_cache(maxsize=1)
@@ -57,11 +58,15 @@ def collapse(c: Column) -> Column:
 
 
 def normalize_address(c: Column) -> Column:
-    """Upper case, no accents, single spaces, abbreviations spelled out as whole words; null gives ''."""
+    """Upper case, no accents, single spaces, abbreviations spelled out as whole words; null gives ''. Control characters U+0001 vanish.
+
+    Abbreviations are marked in one pass and looked up in a map, however many there are."""
     text = collapse(F.upper(fold_accents(F.replace(F.coalesce(c, F.lit("")), F.lit("’"), F.lit("'")))))
-    for short in sorted(ABBREVIATIONS, key=lambda s: (-len(s), s)):
-        text = F.regexp_replace(text, rf"(?U)\b{short}\b\.?", ABBREVIATIONS[short])
-    return collapse(text)
+    any_of = "|".join(sorted(ABBREVIATIONS, key=lambda s: (-len(s), s)))
+    marked = F.regexp_replace(F.translate(text, _MARK, ""), rf"(?U)\b({any_of})\b\.?", f"{_MARK}$1{_MARK}")
+    long = F.create_map(*[F.lit(x) for pair in ABBREVIATIONS.items() for x in pair])
+    spelled = F.array_join(F.transform(F.split(marked, _MARK), lambda part, k: F.when(k % 2 == 1, long[part]).otherwise(part)), "")
+    return collapse(F.when(marked.contains(_MARK), spelled).otherwise(marked))
 
 
 def parse_french_decimal(c: Column) -> Column:
