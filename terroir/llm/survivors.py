@@ -9,12 +9,13 @@ record by policy in the lowest layer that supplies it.
 
 Why this is exact: the first record by policy among those that supply a field cannot be dominated by
 any record, since its dominator would supply the field too and precede it. It therefore sits in
-layer 1, whatever the other fields do.
+layer 1, whatever the other fields do. Fills from layer 2 on therefore never happen as long as completeness is the set of fields; with
+their number as completeness they would, but a field could then come from a record that is less trusted than another that supplies it.
 
 Scale: a group of any size is first reduced, map-side, to its best record per (supplied fields,
 trust grade); a record that loses there is dominated by a record that supplies the same fields and
 can never fill anything. So at most 2^fields x trust grades records of a group meet in one task, even
-if one group holds a third of all rows. Trust is a scale of few grades; the result stays right with
+if one group holds a third of all rows. Trust is a scale of few grades, any number among them; the result stays right with
 many, but the reduction then bites less.
 
 Defined results: rows with a null key or a null id are ignored; null trust is the lowest grade and null
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 #: The periods of construction a certificate may name.
 PERIODS = ("avant 1948", "1948-1974", "1975-1977", "1978-1982", "1983-1988", "1989-2000", "2001-2005", "2006-2012", "2013-2021", "après 2021")
 
-_EARLIEST, _LOWEST = -(2**63), -(2**31)
+_EARLIEST, _LOWEST = -(2**63), float("-inf")
 
 
 def trimmed(c: Column) -> Column:
@@ -74,7 +75,7 @@ def skyline_survivors(rows: DataFrame, key: str, row_id: str, fields: dict[str,
         F.col(key).alias("k"),
         F.col(row_id).cast("long").alias("id"),
         mask.alias("mask"),
-        F.coalesce(trust.cast("int"), F.lit(_LOWEST)).alias("trust"),
+        F.coalesce(trust.cast("double"), F.lit(_LOWEST)).alias("trust"),
         F.coalesce(_micros(rows, recency), F.lit(_EARLIEST)).alias("recency"),
         F.struct(*[F.when(ok, v).alias(f) for f, (v, ok) in fields.items()]).alias("v"),
     )

@@ -67,3 +67,9 @@ def test_times_without_zone_keep_their_order(spark):
             assert rows(survivors.found(ntz)) == [(1, 1, 1, 1), (2, 8, 8, 8)]
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_trust_is_any_number(spark):
+    df = spark.createDataFrame([(1, 1, "a", 0.4), (1, 2, "b", 0.9), (1, 3, "c", 0.89), (1, 4, "d", None), (2, 5, "e", -3.5), (2, 6, "f", None)], "k int, id long, v string, t double")
+    out = survivors.skyline_survivors(df, "k", "id", {"v": (F.col("v"), F.lit(True))}, F.col("t"), F.lit(None).cast("timestamp"))
+    assert rows(out.select("k", "v", "v_from")) == [(1, "b", 2), (2, "e", 5)]
