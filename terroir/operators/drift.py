@@ -120,8 +120,7 @@ def profiles(lines: DataFrame) -> DataFrame:
     size = F.regexp_replace(text, ",", ".").try_cast("double")
     bins = [
         ("l", F.when(F.col("premier"), "")),
-        ("p", F.when(champ.isNotNull(), "")),
-        ("t", kind),
+        ("t", F.when(champ.isNotNull(), F.coalesce(kind, F.lit("")))),  # '' is a null value
         ("d", date_code(kind, text)),
         ("s", F.when(kind.isNotNull(), F.pmod(F.xxhash64(shape), F.lit(SHAPE_BINS)).cast("string"))),
         ("v", F.when(kind.isNotNull(), F.pmod(F.xxhash64(text), F.lit(VALUE_BINS)).cast("string"))),
@@ -165,7 +164,12 @@ class Path:
 
     @property
     def tags(self) -> dict[str, int]:
-        return self.hist["t"]
+        return {t: n for t, n in self.hist["t"].items() if t}
+
+    @property
+    def lines(self) -> int:
+        """Lines that have it, nulls among them."""
+        return sum(self.hist["t"].values())
 
     @property
     def kind(self) -> str | None:
@@ -263,7 +267,7 @@ def _fused(profile: DataFrame, files: DataFrame, report, schema: str) -> DataFra
                 f = Path()
                 for s, c, n in zip(r["sorte"], r["case"], r["n"]):
                     f.hist[s][c] = int(n)
-                if sum(f.hist["p"].values()) > PRESENT * int(r["n_lignes"].iloc[0]):
+                if f.lines > PRESENT * int(r["n_lignes"].iloc[0]):
                     side[bool(present)][name] = f
         found = [x for u in fuse(side[False], side[True]) for x in report(u)] if side[True] and side[False] else []
         return pd.DataFrame([(pdf["fichier_id"].iloc[0], *x) for x in found], columns=["fichier_id", *names])
@@ -357,7 +361,7 @@ def guides(profile: DataFrame, found: DataFrame, files: DataFrame) -> DataFrame:
     whose month and day could change places have the month first."""
     spans = _order(files).join(lineage(found, files), "flux").where(F.col("rang").between(F.col("depuis"), F.col("jusque"))).select("fichier_id", "champ", "canonique")
     of = lambda code: F.coalesce(F.sum(F.when((F.col("sorte") == "d") & F.col("case").startswith(code), F.col("n"))), F.lit(0))
-    each = profile.where("sorte IN ('p', 't', 'd')").groupBy("fichier_id", "champ").agg(F.collect_set(F.when(F.col("sorte") == "t", F.col("case"))).alias("types"), (of("month first") > of("day first")).alias("mois_avant"))
+    each = profile.where("sorte IN ('t', 'd')").groupBy("fichier_id", "champ").agg(F.collect_set(F.when(F.col("sorte") == "t", F.nullif("case", F.lit("")))).alias("types"), (of("month first") > of("day first")).alias("mois_avant"))
     return each.join(spans, ["fichier_id", "champ"], "left").select("fichier_id", "champ", F.coalesce("canonique", "champ").alias("canonique"), "types", "mois_avant")
 
 

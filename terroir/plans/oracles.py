@@ -52,6 +52,12 @@ def _normal(x: str) -> str:
     return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
 
 
+def _any_of(*names: str) -> str:
+    """The value of the first of some names that a line has, JSON null counting as none."""
+    each = ", ".join(f"nullif(json_extract(contenu, '$.{n}')::VARCHAR, 'null')" for n in names)
+    return f"coalesce({each})::JSON"
+
+
 def _part(x: str) -> str:
     return f"nullif(trim({x}), '')"
 
@@ -151,6 +157,16 @@ def all_sql() -> dict[str, str]:
     f, i, m = f"WITH {_LOTS}", f"WITH {_IRIS}", f"WITH {_IMPACT}"
     sel = "commune, annee, type_local"
     return {
+        "p4_values": f"""
+            WITH v AS (SELECT fichier_id, ligne, {_any_of('date_mutation', 'mutation_le', 'date_acte', 'dt_mut', 'jour_vente')} AS d, {_any_of('prix', 'valeur_fonciere')} AS p,
+                         {_any_of('surface', 'm2_habitables', 'surf_bati')} AS s, {_any_of('code_insee', 'depcom', 'codgeo', 'insee_commune', 'code_commune_insee')} AS c FROM dvf_brut),
+            t AS (SELECT fichier_id, ligne, json_type(d) AS kind, d ->> '$' AS d, replace(p ->> '$', ',', '.') AS p, replace(s ->> '$', ',', '.') AS s, json_type(c) = 'VARCHAR' AS text, c ->> '$' AS c FROM v)
+            SELECT DISTINCT fichier_id, ligne, CASE
+                WHEN kind = 'VARCHAR' AND regexp_full_match(d, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN try_strptime(d, '%Y-%m-%d')
+                WHEN kind = 'VARCHAR' AND regexp_full_match(d, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}') THEN try_strptime(d, '%d/%m/%Y')
+                WHEN regexp_full_match(d, '[0-9]{{8}}') THEN try_strptime(d, '%Y%m%d')
+                WHEN kind <> 'VARCHAR' AND d::BIGINT BETWEEN 7305 AND 29219 THEN DATE '1970-01-01' + d::INT END::DATE::VARCHAR AS date_mutation,
+              try_cast(p AS DOUBLE) AS prix, try_cast(s AS DOUBLE) AS surface, CASE WHEN text THEN c ELSE lpad(c, 5, '0') END AS code_insee FROM t""",
         "p4_types": """
             SELECT flux, champ, type, count(*) AS n, arg_min(fichier_id, (recu_le, fichier_id)) AS premier_fichier FROM (
               SELECT fichier_id, e.key AS champ, CASE e.type WHEN 'VARCHAR' THEN 'string' WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number' WHEN 'BOOLEAN' THEN 'boolean' END AS type

@@ -63,6 +63,13 @@ def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.unified(table(spark, sf_dir, "dvf_brut"), table(spark, sf_dir, "dvf_fichiers"), branches=True)
 
 
+@query
+def p4_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four canonical fields of every line of all files."""
+    whole = drift.unified(table(spark, sf_dir, "dvf_brut"), table(spark, sf_dir, "dvf_fichiers"), branches=False)
+    return whole.select("fichier_id", "ligne", F.col("date_mutation").cast("string").alias("date_mutation"), "prix", "surface", "code_insee")
+
+
 @query
 def p4_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every alternative type of every path of a flux and the file that brought it."""
