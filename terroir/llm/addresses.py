@@ -238,19 +238,20 @@ def street_roots(parsed: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Dat
 
     titles = F.filter(F.split("name", " "), lambda w: w.isin(*TITLE_OF))
     plain = F.array_join(F.filter(F.split("name", " "), lambda w: ~w.isin(*TITLE_OF)), "")
+    # a name's place in the order of support, ties by a hash, as one number that stands for the name until names are compared
+    place = F.shiftleft("support", 31).bitwiseOR(F.pmod(F.xxhash64("town", "name"), F.lit(1 << 31)))
     signed = names.mapInPandas(sign, "town string, name string, support long, sig array<long>")
-    signed = cut_lineage(signed.select("town", F.struct("support", "name", F.replace("name", F.lit(" "), F.lit("")).alias("whole"), plain.alias("plain"), F.size(titles).alias("titles")).alias("it"), "sig"))
-    banded = signed.select("town", "it", F.posexplode("sig").alias("band", "h"))
-    band = ["town", "band", "h"]
-    # the hub of a band: the best supported name, ties by name; a map-side reduction
-    hubs = banded.groupBy(*band).agg(F.max("it").alias("hub"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
-    first = cut_lineage(banded.join(hubs, band).where(_may_be_slip()))
-    close = cut_lineage(_verified(first))
+    signed = cut_lineage(signed.select(place.alias("place"), "town", "name", "support", F.replace("name", F.lit(" "), F.lit("")).alias("whole"), plain.alias("plain"), F.size(titles).alias("titles"), "sig"))
+    exploded = signed.select("place", "town", F.posexplode("sig").alias("band", "h"))
+    banded = exploded.select(F.xxhash64("town", "band", "h").alias("band"), "place")
+    # the hub of a band: the best supported name; a map-side reduction
+    hubs = banded.groupBy("band").agg(F.max("place").alias("hub"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
+    first = cut_lineage(banded.join(hubs, "band").where(_may_be_slip()))
+    close = cut_lineage(_verified(first, signed))
     # the rest meets all names of its bands; a name that is no slip of the hub, whose support is highest, is none of the others
-    settled = close.select("town", F.col("name").alias("settled")).distinct()
-    open_ = first.join(settled, (first["town"] == settled["town"]) & (first["it.name"] == settled["settled"]), "left_anti").select(*band, "it", F.col("hub.name").alias("seen"))
-    rest = open_.join(banded.select(*band, F.col("it").alias("hub")), band).where((F.col("hub.name") != F.col("seen")) & _may_be_slip())
-    checked = close.unionByName(_verified(rest))
+    open_ = first.join(close.select("place").distinct(), "place", "left_anti").withColumnRenamed("hub", "seen")
+    rest = spread_join(open_, banded.select("band", F.col("place").alias("hub")), ["band"], ["place"]).where((F.col("hub") != F.col("seen")) & _may_be_slip())
+    checked = close.unionByName(_verified(rest, signed))
     # the closest name; of equally close ones the best supported
     chain = cut_lineage(checked.groupBy("town", "name").agg(F.min(F.struct("cost", (-F.col("hub_support")).alias("s"), "hub"))["hub"].alias("hub")))
     while True:  # (support, name) grows along a chain, so there are no circles; what is left of a chain halves each time
@@ -258,7 +259,7 @@ def street_roots(parsed: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Dat
         if chain.join(nxt, ["town", "hub"], "left_semi").isEmpty():
             break
         chain = cut_lineage(chain.join(nxt, ["town", "hub"], "left").select("town", "name", F.coalesce("next", "hub").alias("hub")))
-    return signed.select("town", "it.name").join(chain, ["town", "name"], "left").select("town", "name", F.coalesce("hub", "name").alias("root"))
+    return signed.select("town", "name").join(chain, ["town", "name"], "left").select("town", "name", F.coalesce("hub", "name").alias("root"))
 
 
 def slip_limit(support: Column) -> Column:
@@ -267,24 +268,26 @@ def slip_limit(support: Column) -> Column:
 
 
 def _may_be_slip() -> Column:
-    more = (F.col("hub.support") > F.col("it.support")) | ((F.col("hub.support") == F.col("it.support")) & (F.col("hub.name") > F.col("it.name")))
-    return more & (F.col("it.support") <= slip_limit(F.col("hub.support")))
+    support = lambda c: F.shiftright(c, 31)
+    return (F.col("hub") > F.col("place")) & (support("place") <= slip_limit(support("hub")))
 
 
-def _verified(met: DataFrame) -> DataFrame:
-    """town, name, hub, hub_support, cost of the pairs within the edits allowed; input: town, it, hub."""
+def _verified(met: DataFrame, names: DataFrame) -> DataFrame:
+    """place, town, name, hub, hub_support, cost of the pairs (place, hub) within the edits allowed. Places and bands are hashed: should two names share
+    one, more pairs are compared, but only within a town."""
     # an alignment of cost c takes 2c edits of letters at most once titles left out on one side are set apart
     most = int(2 * EDITS)
-    near = lambda c: F.levenshtein(F.col(f"it.{c}"), F.col(f"hub.{c}"), most) >= 0
-    both = met.where(near("whole") | near("plain") | (F.col("it.titles") + F.col("hub.titles") > 1)).select("town", "it.name", F.col("hub.name").alias("hub"), F.col("hub.support").alias("hub_support")).distinct()
+    side = lambda x: names.select(F.col("place").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("town", "name", "support", "whole", "plain", "titles")])
+    near = lambda c: F.levenshtein(F.col(f"place_{c}"), F.col(f"hub_{c}"), most) >= 0
+    both = met.select("place", "hub").distinct().join(side("place"), "place").join(side("hub"), "hub").where((F.col("place_town") == F.col("hub_town")) & (near("whole") | near("plain") | (F.col("place_titles") + F.col("hub_titles") > 1)))
 
     def verify(batches):
         for pdf in batches:
-            cost = [alignment(a.split(" "), b.split(" ")) for a, b in zip(pdf["name"], pdf["hub"])]
-            pdf = pdf.assign(cost=cost)
+            pdf = pdf.assign(cost=[alignment(a.split(" "), b.split(" ")) for a, b in zip(pdf["name"], pdf["hub"])])
             yield pdf[pdf["cost"] <= EDITS]
 
-    return both.mapInPandas(verify, "town string, name string, hub string, hub_support long, cost double")
+    lean = both.select("place", F.col("place_town").alias("town"), F.col("place_name").alias("name"), F.col("hub_name").alias("hub"), "hub_support")
+    return lean.mapInPandas(verify, "place long, town string, name string, hub string, hub_support long, cost double")
 
 
 def locate(texts: DataFrame) -> DataFrame:
