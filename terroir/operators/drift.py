@@ -116,8 +116,8 @@ def profiles(lines: DataFrame) -> DataFrame:
     """fichier_id, champ, sorte, case, n: histograms of each field of each file, and (champ null, sorte ``l``) its number of lines."""
     fields = fields_of(lines)
     kind, text, champ = F.col("type"), F.col("texte"), F.col("champ")
-    shape = F.regexp_replace(F.regexp_replace(text, r"\p{L}+", "A"), r"\d", "9")
-    size = F.regexp_replace(text, ",", ".").try_cast("double")
+    shape = F.regexp_replace(F.translate(text, "012345678", "9" * 9), r"\p{L}+", "A")
+    size = F.translate(text, ",", ".").try_cast("double")
     bins = [
         ("l", F.when(F.col("premier"), "")),
         ("t", F.when(champ.isNotNull(), F.coalesce(kind, F.lit("")))),  # '' is a null value

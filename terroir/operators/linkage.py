@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from terroir.constants import CERTAIN, REFORM, STATUSES, SURFACE_TOLERANCE
 from terroir.functions.geo import DISTANCE_THRESHOLD_M, METRES_PER_DEGREE, box_half_widths, cell, haversine_m
 from terroir.operators.joins import spread_join
+from terroir.session import cut_lineage
 
 PROFILE = ("code", "adresse", "lat", "lon", "surface", "kind")
 #: What the distance pass depends on.
@@ -114,7 +115,11 @@ def judged(pool: DataFrame, tolerance: float = SURFACE_TOLERANCE, keys: tuple[st
 
 def resolve(pool: DataFrame, tolerance: float = SURFACE_TOLERANCE, keys: tuple[str, ...] = PROFILE) -> DataFrame:
     """One row per profile with candidates: match_status, match_methode, filtre_type_applique, numero_dpe and the carried columns."""
-    j = judged(pool, tolerance, keys)
+    return outcomes(judged(pool, tolerance, keys), keys)
+
+
+def outcomes(j: DataFrame, keys: tuple[str, ...] = PROFILE) -> DataFrame:
+    """The outcomes of judged candidates."""
     kept = F.col("retenu")
     same = lambda c: (F.count_if(kept & F.col(c).isNotNull()) == F.count_if(kept)) & (F.min(F.when(kept, F.col(c))) == F.max(F.when(kept, F.col(c))))
     one = j.groupBy(*keys).agg(
@@ -156,17 +161,17 @@ def link(lots: DataFrame, certs: DataFrame, metres: float = DISTANCE_THRESHOLD_M
 
 def undecided_pools(lots: DataFrame, certs: DataFrame, metres: float = DISTANCE_THRESHOLD_M, tolerance: float = SURFACE_TOLERANCE) -> DataFrame:
     """The judged candidates of every ambiguous profile."""
-    pool = candidates(lots, certs, metres)
-    open_ = resolve(pool, tolerance).where(F.col("match_status") == "ambigu").select(*PROFILE)
-    return _rejoin(judged(pool, tolerance).where(F.col("retenu")), open_, "left_semi")
+    pool = cut_lineage(judged(candidates(lots, certs, metres), tolerance))  # read twice
+    open_ = outcomes(pool).where(F.col("match_status") == "ambigu").select(*PROFILE)
+    return _rejoin(pool.where(F.col("retenu")), open_, "left_semi")
 
 
 def masked_pools(lots: DataFrame, certs: DataFrame, metres: float = DISTANCE_THRESHOLD_M, tolerance: float = SURFACE_TOLERANCE) -> DataFrame:
     """For profiles found with certainty, the pool as it was before the floor area decided, and whether it had several
     (``regime`` isole or multi): cases with a known answer."""
-    pool = candidates(lots, certs, metres)
-    sure = resolve(pool, tolerance).where(F.col("match_status") == "trouve").select(*PROFILE, F.col("numero_dpe").alias("reponse"))
-    kept = judged(pool, tolerance).where(F.col("garde"))
+    pool = cut_lineage(judged(candidates(lots, certs, metres), tolerance))  # read twice
+    sure = outcomes(pool).where(F.col("match_status") == "trouve").select(*PROFILE, F.col("numero_dpe").alias("reponse"))
+    kept = pool.where(F.col("garde"))
     out = _rejoin(kept, sure, "inner")
     return out.select(*[F.col(f"l.{c}") for c in kept.columns], F.col("reponse"), F.when(F.col("m") == 1, "isole").otherwise("multi").alias("regime"))
 

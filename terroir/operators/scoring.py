@@ -54,13 +54,13 @@ def questions(pool: DataFrame, case: Sequence[str]) -> DataFrame:
     return scored.unionByName(pool.select(*case).distinct().select(*case, F.lit("garde").alias("ref"), F.lit("noul").alias("type")))
 
 
-def best_candidates(answers: DataFrame, case: Sequence[str]) -> DataFrame:
-    """case, pos, score, marge, confiance of the best answer (first of ties); input: case, pos, score, confidence.
+def best_candidates(answers: DataFrame, case: Sequence[str], carried: Sequence[str] = ()) -> DataFrame:
+    """case, pos, score, marge, confiance of the best answer (first of ties) and other columns of its row; input: case, pos, score, confidence.
     Missing answers count as 0; the margin of a single candidate is its score."""
     score = F.coalesce("score", F.lit(0.0))
     w = Window.partitionBy(*case).orderBy(score.desc(), "pos")
-    ranked = answers.select(*case, "pos", score.alias("score"), F.coalesce("confidence", F.lit(0.0)).alias("confiance"), F.row_number().over(w).alias("_r"), F.lead(score).over(w).alias("_next"))
-    return ranked.where(F.col("_r") == 1).select(*case, "pos", "score", (F.col("score") - F.coalesce("_next", F.lit(0.0))).alias("marge"), "confiance")
+    ranked = answers.select(*case, "pos", score.alias("score"), F.coalesce("confidence", F.lit(0.0)).alias("confiance"), F.row_number().over(w).alias("_r"), F.lead(score).over(w).alias("_next"), *carried)
+    return ranked.where(F.col("_r") == 1).select(*case, *carried, "pos", "score", (F.col("score") - F.coalesce("_next", F.lit(0.0))).alias("marge"), "confiance")
 
 
 #: Fixed value: the state of a case the scorer resolved.

@@ -34,9 +34,7 @@ def decided(spark: SparkSession, d: str) -> DataFrame:
     """Masked pools decided on the answers of a deterministic stand-in for the scorer."""
     h = F.conv(F.substring(F.md5("numero_dpe"), 1, 4), 16, 10).cast("int")
     a = nearest(linkage.masked_pools(table(spark, d, "dvf_geocoded"), table(spark, d, "dpe_clean"))).withColumns({"score": (h % 201) / 100.0, "confidence": (h % 101) / 100.0})
-    best = scoring.best_candidates(a, linkage.PROFILE)
-    rows = linkage._rejoin(a.select(*linkage.PROFILE, F.col("pos").alias("p"), "numero_dpe", "reponse", "regime"), best, "inner").where(F.col("l.p") == F.col("r.pos"))
-    flat = rows.select(*[F.col(f"l.{c}") for c in linkage.PROFILE], "numero_dpe", "reponse", "regime", "pos", "score", "marge", "confiance")
+    flat = scoring.best_candidates(a, linkage.PROFILE, ["numero_dpe", "reponse", "regime"])
     return scoring.evaluate(scoring.decide(flat.withColumns({"garde": F.col("numero_dpe").rlike("[0-8].$"), "entree": F.lit("ambigu")}), entry="entree"))
 
 
