@@ -183,11 +183,11 @@ def passes(lots: DataFrame, certs: DataFrame, tolerance: float = TOLERANCE) -> D
     """lot_id, known, numero_dpe, rule of all lots, each from the first pass that resolves it."""
     todo, made = lots, []
     for one in PASSES:
-        pairs = cut_lineage(one(todo, certs, tolerance).distinct())
+        pairs = cut_lineage(one(todo, certs, tolerance))
         made.append(pairs)
-        if one is not PASSES[-1]:
-            todo = todo.join(pairs.select("lot_id").distinct(), "lot_id", "left_anti")
-    return made[0].unionByName(made[1]).unionByName(made[2]).unionByName(made[3])
+        todo = todo.join(pairs.select("lot_id"), "lot_id", "left_anti")
+    every = made[0].unionByName(made[1]).unionByName(made[2]).unionByName(made[3])
+    return every.groupBy("lot_id", "known", "numero_dpe").agg(F.min("rule").alias("rule"))
 
 
 def precision(pairs: DataFrame, prior: float = PRIOR, weight: float = WEIGHT) -> DataFrame:
@@ -209,8 +209,7 @@ def cascade(matched: DataFrame, certificates: DataFrame, tolerance: float = TOLE
     """lot_id, numero_dpe, rule_name, confidence of every lot without a known number that a rule resolves."""
     pairs = passes(*prepare(matched, certificates), tolerance)
     sure = precision(pairs).where(F.col("confidence") > least)
-    best = pairs.where(F.col("known").isNull()).groupBy("lot_id", "numero_dpe").agg(F.min("rule").alias("rule"))
-    return best.join(sure, "rule").select("lot_id", "numero_dpe", "rule_name", "confidence")
+    return pairs.where(F.col("known").isNull()).join(sure, "rule").select("lot_id", "numero_dpe", "rule_name", "confidence")
 
 
 def found(matched: DataFrame, certificates: DataFrame) -> DataFrame:
