@@ -347,12 +347,24 @@ def published_cells(agg_marche: DataFrame, agg_iris: DataFrame) -> DataFrame:
     return a.unionByName(b).dropDuplicates()
 
 
+def _cell_hash() -> Column:
+    return F.xxhash64("mart", F.coalesce("edition", F.lit(-(2**31))), "lieu", "annee", F.coalesce("type_local", F.lit("\u0000")))
+
+
 def cell_percentiles(points: DataFrame, shape: Sketching = Sketching()) -> DataFrame:
-    """Sketch percentiles, with brackets, of every cell of both marts; infinite prices count as the greatest or least number."""
+    """Sketch percentiles, with brackets, of every cell of both marts; infinite prices count as the greatest or least number.
+
+    Points travel under a hash of their cell; the cells themselves, few beside the points, are joined to their sketches. Should two cells share a
+    hash, which is looked for, points travel under the cells' own columns.
+    """
     most = F.lit(1e308)
     finite = cell_points(points).withColumn("prix_m2", F.greatest(F.least("prix_m2", most), -most))
-    parts = build_sketches(finite, CELL, "prix_m2", shape, distinct_on="point_id")
-    return percentiles(merge_sketches(parts, CELL, shape), CELL, PROBABILITIES, shape)
+    cells = cut_lineage(finite.select(*CELL).distinct().withColumn("cell", _cell_hash()))
+    told_apart = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).isEmpty()
+    key, rows = (["cell"], finite.select(_cell_hash().alias("cell"), "point_id", "prix_m2")) if told_apart else (CELL, finite)
+    parts = build_sketches(rows, key, "prix_m2", shape, distinct_on="point_id")
+    answers = percentiles(merge_sketches(parts, key, shape), key, PROBABILITIES, shape)
+    return cells.join(answers, "cell").drop("cell") if told_apart else answers
 
 
 def _between(low: Column, high: Column, p: str) -> Column:

@@ -109,3 +109,13 @@ def test_the_sketch_decides_what_it_can(spark):
     m = spark.createDataFrame([(1, c, "2020", "Maison", 1, 0.0, float(q[1] * off), float(q[0]), float(q[2])) for c, off in (("A", 1.0), ("B", 1.3), ("C", 1.0501), ("D", 0.7))] + [(1, "A", "2020", "Maison", 1, 0.0, None, None, None)], MARCHE)
     judged = quantiles.judge_cells(pts, m, spark.createDataFrame([], IRIS))
     assert rows(judged.select("lieu", "verdict")) == [("A", "right"), ("A", "right"), ("B", "wrong"), ("C", "open"), ("D", "wrong")]
+
+
+def test_cells_that_share_a_hash(spark, monkeypatch):
+    """Hashes only carry the points: should two cells have the same one, nothing is mixed up."""
+    pts = spark.createDataFrame([(k, e, None, c, "2020", t, None, 1000.0 * (1 + "AB".index(c)) + k) for c in "AB" for e in (1, None) for t in ("Maison", None) for k in range(30)], POINTS)
+    want = {tuple(r[c] for c in quantiles.CELL): r["n"] for r in quantiles.cell_percentiles(pts).collect()}
+    assert len(want) == 8 and set(want.values()) == {30}
+    medians = rows(quantiles.cell_percentiles(pts).select("lieu", "mediane_low"))
+    monkeypatch.setattr(quantiles, "_cell_hash", lambda: F.lit(7).cast("long"))
+    assert rows(quantiles.cell_percentiles(pts).select("lieu", "mediane_low")) == medians
