@@ -347,24 +347,28 @@ def published_cells(agg_marche: DataFrame, agg_iris: DataFrame) -> DataFrame:
     return a.unionByName(b).dropDuplicates()
 
 
-def _cell_hash() -> Column:
-    return F.xxhash64("mart", F.coalesce("edition", F.lit(-(2**31))), "lieu", "annee", F.coalesce("type_local", F.lit("\u0000")))
+HASH = ["h1", "h2"]
 
 
-def cell_percentiles(points: DataFrame, shape: Sketching = Sketching()) -> DataFrame:
-    """Sketch percentiles, with brackets, of every cell of both marts; infinite prices count as the greatest or least number.
+def _cell_hash() -> list[Column]:
+    """128 bits that stand for a cell: among a billion of cells, two share them with a chance of about 10**-21."""
+    parts = ["mart", F.coalesce("edition", F.lit(-(2**31))), "lieu", "annee", F.coalesce("type_local", F.lit("\u0000"))]
+    return [F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit("cell"), *parts).alias("h2")]
 
-    Points travel under a hash of their cell; the cells themselves, few beside the points, are joined to their sketches. Should two cells share a
-    hash, which is looked for, points travel under the cells' own columns.
-    """
+
+def _by_hash(points: DataFrame, shape: Sketching) -> DataFrame:
+    """h1, h2, n and the sketch percentiles of every cell. Points travel under the hash of their cell, not its columns; infinite prices count as the greatest
+    or least number."""
     most = F.lit(1e308)
-    finite = cell_points(points).withColumn("prix_m2", F.greatest(F.least("prix_m2", most), -most))
-    cells = cut_lineage(finite.select(*CELL).distinct().withColumn("cell", _cell_hash()))
-    told_apart = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).isEmpty()
-    key, rows = (["cell"], finite.select(_cell_hash().alias("cell"), "point_id", "prix_m2")) if told_apart else (CELL, finite)
-    parts = build_sketches(rows, key, "prix_m2", shape, distinct_on="point_id")
-    answers = percentiles(merge_sketches(parts, key, shape), key, PROBABILITIES, shape)
-    return cells.join(answers, "cell").drop("cell") if told_apart else answers
+    lean = cell_points(points).select(*_cell_hash(), "point_id", F.greatest(F.least("prix_m2", most), -most).alias("prix_m2"))
+    parts = build_sketches(lean, HASH, "prix_m2", shape, distinct_on="point_id")
+    return percentiles(merge_sketches(parts, HASH, shape), HASH, PROBABILITIES, shape)
+
+
+def cell_percentiles(points: DataFrame, shape: Sketching = Sketching()) -> DataFrame:
+    """Sketch percentiles, with brackets, of every cell of both marts."""
+    cells = cell_points(points).select(*CELL).distinct()
+    return cells.select(*CELL, *_cell_hash()).join(_by_hash(points, shape), HASH).drop(*HASH)
 
 
 def _between(low: Column, high: Column, p: str) -> Column:
@@ -461,7 +465,9 @@ def judge_cells(points: DataFrame, agg_marche: DataFrame, agg_iris: DataFrame, t
         inner = (low > -math.inf) & (high < math.inf) & (pub <= low + tolerance * F.abs(low)) & (pub >= high - tolerance * F.abs(high))
         return F.when(pub.isNull() | inner, 0).when(outer, 2).otherwise(1)
 
-    cells = published_cells(agg_marche, agg_iris).join(cell_percentiles(points, shape), CELL)
+    # a published cell without mart, place or year is none of the points'
+    cells = published_cells(agg_marche, agg_iris).dropna(subset=CELL)
+    cells = cells.select("*", *_cell_hash()).join(_by_hash(points, shape), HASH).drop(*HASH)
     worst = F.greatest(*[verdict(p) for p in PROBABILITIES])
     return cells.withColumn("verdict", F.when(worst == 2, "wrong").when(worst == 1, "open").otherwise("right"))
 

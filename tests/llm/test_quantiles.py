@@ -111,11 +111,10 @@ def test_the_sketch_decides_what_it_can(spark):
     assert rows(judged.select("lieu", "verdict")) == [("A", "right"), ("A", "right"), ("B", "wrong"), ("C", "open"), ("D", "wrong")]
 
 
-def test_cells_that_share_a_hash(spark, monkeypatch):
-    """Hashes only carry the points: should two cells have the same one, nothing is mixed up."""
+def test_nulls_tell_cells_apart(spark):
     pts = spark.createDataFrame([(k, e, None, c, "2020", t, None, 1000.0 * (1 + "AB".index(c)) + k) for c in "AB" for e in (1, None) for t in ("Maison", None) for k in range(30)], POINTS)
-    want = {tuple(r[c] for c in quantiles.CELL): r["n"] for r in quantiles.cell_percentiles(pts).collect()}
-    assert len(want) == 8 and set(want.values()) == {30}
-    medians = rows(quantiles.cell_percentiles(pts).select("lieu", "mediane_low"))
-    monkeypatch.setattr(quantiles, "_cell_hash", lambda: F.lit(7).cast("long"))
-    assert rows(quantiles.cell_percentiles(pts).select("lieu", "mediane_low")) == medians
+    got = {tuple(r[c] for c in quantiles.CELL): r["n"] for r in quantiles.cell_percentiles(pts).collect()}
+    assert len(got) == 8 and set(got.values()) == {30}
+    # as in SQL, a published cell with a null is none of the points' cells
+    m = spark.createDataFrame([(None, "A", "2020", "Maison", 1, 0.0, 1.0, 1.0, 1.0), (1, "A", "2020", None, 1, 0.0, 1.0, 1.0, 1.0), (1, "B", "2020", "Maison", 1, 0.0, 1.0, 1.0, 1.0)], MARCHE)
+    assert rows(quantiles.found(pts, m, spark.createDataFrame([], IRIS))) == [("agg_marche", 1, "B", "2020", "Maison")]
