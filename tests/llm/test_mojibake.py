@@ -109,3 +109,31 @@ def test_the_sample_is_full_among_empty_texts(spark, monkeypatch):
     m.fit(df, sample=1000)
     m.fit(df.limit(0), sample=10)
     assert [len(x) for x in seen] == [100, 400, 0] and set(seen[0]) <= set(seen[1])
+
+
+def test_the_model_counts_every_document(spark, corpus):
+    """More documents than any sample took, and text beyond what it read of one: in the model, however the rows lie in tasks."""
+    rows = [(k, *corpus[k % len(corpus)]) for k in range(3300)]
+    rows += [(k + 4000, "pl", "x" * 25_000 + f" zażółć gęślą jaźń {k}") for k in range(3)] + [(5000, None, None), (5001, "all", "Straße heißt"), (5002, "fr", garble(CLEAN["fr"][0], "utf-8", "cp1252"))]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = m.fit(df)
+    assert model.n == sum(not line.isascii() for _, _, t in rows if t for line in t.split("\n")) - 1  # but the garbled line
+    assert model.df["żół"] == 3 and model.df["eiß"] >= 1
+    whole = m.Model([(lang, t) for _, lang, t in rows if t])
+    assert model.digest() == whole.digest() == m.fit(df.repartition(7)).digest() and {"all", "fr"} <= set(whole.dictionaries)
+
+
+def test_rare_phrases_count_for_their_word(spark, monkeypatch):
+    """Phrases too rare for the text that dictionaries are trained on, and counts handed on midway, lose no word; a corpus of garbled lines alone has a model."""
+    monkeypatch.setattr(m, "TRAINING", 20)
+    monkeypatch.setattr(m, "HELD", 30)
+    rows = [("fr", f"avant{k} été puis{k}") for k in range(90)] + [("fr", "il a été dit")] * 10 + [("fr", "seul hôtel")]
+    first = m.Model.of(1, {})
+    local = m.Counts(rows, m.Judge(first)).shares()
+    assert local == {"all": (101, {"été": 90, "il a été dit": 10})}
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, lang string, text string")
+    assert m._dictionaries(m._counts(df, first)) == {"all": m.train(*local["all"], 20)}
+    bad = spark.createDataFrame([(k, "fr", "Voil\ufffd") for k in range(3)], "doc_id long, lang string, text string")
+    assert m.fit(bad).dictionaries == {"all": b""} and m.found(bad).count() == 3
+    text = m.train(40, m.Counter({"aé": 30, "bé": 10}), 20)
+    assert text.count("aé".encode()) == 15 and text.count("bé".encode()) == 5
