@@ -1,3 +1,5 @@
+import math
+
 import pytest
 
 from terroir.llm import mojibake as m
@@ -137,3 +139,50 @@ def test_rare_phrases_count_for_their_word(spark, monkeypatch):
     assert m.fit(bad).dictionaries == {"all": b""} and m.found(bad).count() == 3
     text = m.train(40, m.Counter({"aé": 30, "bé": 10}), 20)
     assert text.count("aé".encode()) == 15 and text.count("bé".encode()) == 5
+
+
+def test_clean_texts_cost_little(judge, monkeypatch):
+    """A word's trigrams are listed once for all documents and its bytes once a codec; lines without misread UTF-8 are not split at quotes."""
+    seen = {"trigrams": 0, "codecs": 0, "splits": 0}
+
+    def counted(name, f):
+        def g(*args):
+            seen[name] += 1
+            return f(*args)
+
+        return g
+
+    class Quote:
+        split = staticmethod(counted("splits", m._QUOTE.split))
+
+    monkeypatch.setattr(m, "trigrams", counted("trigrams", m.trigrams))
+    monkeypatch.setattr(m, "_bytes_of", counted("codecs", m._bytes_of))
+    monkeypatch.setattr(m, "_QUOTE", Quote)
+    counts = m.Counts([("fr", f"étiquette zélée n° {k}") for k in range(100)])
+    assert counts.df["éti"] == counts.df[" n°"] == counts.lines == 100 and seen["trigrams"] <= 3
+    assert judge.undone("zélée,") == () and 0 < seen["codecs"] <= len(m.WRONG)
+    text = "l'été n'a pas 'duré' d'après 'l'hôtel'\n" * 50
+    assert m.unquoted(text) == text and seen["splits"] == 0
+
+
+def test_short_cuts_change_nothing(judge):
+    """Words, suspicions and phrases are those of the plain definitions."""
+    lines = [x for lang in CLEAN.values() for x in lang]
+    texts = ["", "é", " é\t\u00a0à\\nb  ü \n\nß", "\\né\\", "a\u2028é b\x85"] + lines + [garble(x, t, w) for x in lines for w, t in m.CHAINS[::7]] + [garble(garble(x, "utf-8", "cp1252"), "utf-8", "cp850") for x in lines]
+    some = 0
+    for model in (judge.model, m.Model.of(2, {"é": 1, " é ": 9})):  # a trigram in more documents than there are lines adds to a score
+        mine = m.Judge(model)
+        score = lambda w: sum(math.log((model.df.get(t, 0) + 0.3) / model.n) for t in m.trigrams(w))  # noqa: E731, B023
+        for text in texts:
+            words = [w for words in m.non_ascii_pieces(text) for w in words if not w.isascii()]
+            assert m.non_ascii_words(text) == words
+            for w in words:
+                once = [((step,), u) for step in m.CHAINS if (u := m.undo(w, *step)) is not None]
+                twice = [((step, again), u) for (step,), o in once if step[1] == "utf-8" and not o.isascii() for again in m.CHAINS[: len(m.WRONG)] if (u := m.undo(o, *again)) is not None]
+                plain = {(c, u) for c, u in once + twice if score(u) - score(w) > m.LIKELIER}
+                assert {(c, u) for c, u, _ in mine.undone(w)} == plain
+                some += bool(plain)
+            phrases = m.Counts([("fr", text)], mine).phrases
+            left = mine.clean(text)
+            assert sorted(p[1:] for p in phrases.elements()) == sorted((" ".join(ws[max(0, k - 2) : k + 3]), w) for ws in m.non_ascii_pieces(left) for k, w in enumerate(ws) if not w.isascii())
+    assert some > 100
